@@ -1,23 +1,50 @@
-"""Cutting lineage in a way that survives lost executors."""
+"""Cutting lineage in a way that survives lost executors: tables written to the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; only where the setting is absent, as in tests, a folder of our own."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only where the setting is absent, as in tests, a temporary one of our own."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lathework-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if not folder:
+        folder = _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="lathework-shared-"))
+    return folder.rstrip("/")
+
+
+class Cuts:
+    """Tables written for one computation, so that those no longer read can be dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made = spark, f"{shared_folder(spark)}/lathework-{uuid.uuid4().hex}", []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """df, written once and read from there."""
+        path = f"{self.folder}/{len(self.made)}"
+        schema = df.schema
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+        self.made.append(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, keep: int = 0) -> None:
+        """Deletes all tables but the last ``keep``, which nothing may read any more."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        gone = self.made[: len(self.made) - keep]
+        for path in gone:
+            if path:
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(conf).delete(p, True)
+        self.made[: len(gone)] = [""] * len(gone)
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df as a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read from there; it stays as long as the folder does."""
+    return Cuts(df.sparkSession).cut(df)
