@@ -26,9 +26,7 @@ def distinctive(w: Words, count: np.ndarray, bits: float, at_least: int, anchors
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     seen = np.maximum(count[slots(w)], 1)
     surprise = np.log2(max(count.sum(), 2) / seen)
-    usable = np.flatnonzero(seen > 1)
-    order = usable[np.lexsort((seen[usable], w.doc[usable]))]
-    order = order[_rank(w.doc[order]) < anchors]
+    order = anchor_words(w, count, anchors)
     doc, lo, hi = w.doc[order], w.start[w.doc[order]], w.start[w.doc[order] + 1]
     total = np.concatenate([[0.0], np.cumsum(surprise)])
     up, down = powers(size + 1)
@@ -45,6 +43,14 @@ def distinctive(w: Words, count: np.ndarray, bits: float, at_least: int, anchors
     return np.concatenate(docs), np.concatenate(grams)
 
 
+def anchor_words(w: Words, count: np.ndarray, anchors: int) -> np.ndarray:
+    """Positions of each document's rarest words, but for those counted once; document by document."""
+    seen = count[slots(w)]
+    usable = np.flatnonzero(seen > 1)
+    order = usable[np.lexsort((seen[usable], w.doc[usable]))]
+    return order[_rank(w.doc[order]) < anchors]
+
+
 def _rank(sorted_key: np.ndarray) -> np.ndarray:
     """Position within its run of equal keys."""
     if not len(sorted_key):

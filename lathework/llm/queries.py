@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cross_split import cross_split_overlaps, overlap_report
+from .grouped_split import assign_splits, related, scenario_words
 from .near_dup import near_duplicates
 
 
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """Recipe methods and raw responses as collection, id, text."""
-    c = spark.read.parquet(f"{d}/candidates.parquet")
-    p = spark.read.parquet(f"{d}/packets.parquet")
+    c, p = _read(spark, d, "candidates"), _read(spark, d, "packets")
     methods = c.select(F.lit("candidates").alias("collection"), F.col("example_id").alias("id"), F.concat_ws(" ", "assistant_response.method").alias("text"))
     return methods.unionByName(p.select(F.lit("packets").alias("collection"), F.col("blind_id").alias("id"), F.col("candidate_response").alias("text")))
 
@@ -20,8 +25,57 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(_texts(spark, d))
 
 
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Train prompts as id, text; evaluation prompts as field, id, text, source."""
+    c, k = _read(spark, d, "candidates"), _read(spark, d, "contamination_calibration")
+    split = F.lower(F.regexp_replace("split", r"(?U)^\s+|\s+$", ""))
+    train = c.where(split == "train").select(F.col("example_id").alias("id"), F.col("user_prompt").alias("text"))
+    evaluation = c.where(split == "validation").select(
+        F.lit("validation").alias("field"), F.col("example_id").alias("id"), F.col("user_prompt").alias("text"), F.col("provenance.authoring_batch_id").alias("source")
+    )
+    for f in ("existing_prompt", "candidate_prompt"):
+        evaluation = evaluation.unionByName(k.select(F.lit(f).alias("field"), F.col("case_id").alias("id"), F.col(f).alias("text"), F.col("case_type").alias("source")))
+    return train, evaluation
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = cross_split_overlaps(*_sides(spark, d))
+    return found.select(F.col("field").alias("eval_field"), F.col("id").alias("eval_id"), F.col("train_id").alias("train_example_id"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps per evaluation split or field and source (authoring batch or case type)."""
+    train, evaluation = _sides(spark, d)
+    return overlap_report(cross_split_overlaps(train, evaluation), evaluation)
+
+
+def _slots(spark: SparkSession, d: str) -> DataFrame:
+    m = _read(spark, d, "production_matrix")
+    return m.select("slot_id", "example_id", scenario_words(F.col("scenario_id")).alias("scenario"), _name(F.col("intent_family")).alias("family"))
+
+
+def _name(c: Column) -> Column:
+    """One spelling of a name: lower case, runs of letters and digits joined by underscores."""
+    return F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1), "_")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    slots = _slots(spark, d)
+    groups = related(slots, "slot_id", ["scenario", "example_id"])
+    named = slots.where("slot_id is not null").groupBy("slot_id").agg(F.min("scenario").alias("scenario")).join(groups, "slot_id")
+    keys = named.groupBy("component").agg(F.count("*").alias("n"), F.min("scenario").alias("scenario")).where("n > 1")
+    return named.select("slot_id", "component").join(keys, "component").select("slot_id", F.concat(F.lit("scenario-"), "scenario").alias("scenario_key"))
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    """``slot_id, split`` at 80/10/10, stratified by intent family."""
+    slots = _slots(spark, d)
+    families = slots.where("slot_id is not null").groupBy("slot_id").agg(F.min("family").alias("stratum"))
+    return assign_splits(related(slots, "slot_id", ["scenario", "example_id"]).join(families, "slot_id")).select("slot_id", "split")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_splits": p4_splits}
 
 
 def oracle_sql() -> dict[str, str]:
