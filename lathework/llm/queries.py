@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .consensus import discover, latest
 from .cross_split import cross_split_overlaps, overlap_report
 from .grouped_split import assign_splits, related, scenario_words
+from .language import code, identify
+from .mixing import mix, source_name
 from .near_dup import near_duplicates
+from .packing import pack, packing_report
+from .pair_defects import pair_defects
+from .tokens import token_sizes
+from .truncation import truncated, truncation_rates
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -74,8 +81,145 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(related(slots, "slot_id", ["scenario", "example_id"]).join(families, "slot_id")).select("slot_id", "split")
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Raw responses as id, source, prompt, text; source is the label of the packet's mapping, in one spelling."""
+    p, m = _read(spark, d, "packets"), _read(spark, d, "identity_mapping")
+    label = F.lower(F.regexp_replace("source_label", r"(?U)^\s+|\s+$", ""))
+    sources = m.groupBy("blind_id").agg(F.min(label).alias("source"))
+    rows = p.select("blind_id", F.col("user_prompt").alias("prompt"), F.col("candidate_response").alias("text"))
+    return rows.join(sources, "blind_id", "left").withColumnRenamed("blind_id", "id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    answers = _answers(spark, d)
+    pairs = _read(spark, d, "packets").select(F.col("blind_id").alias("id"), F.col("user_prompt").alias("prompt"), F.col("candidate_response").alias("response"))
+    return pair_defects(pairs, truncated(answers)).withColumnRenamed("id", "blind_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(_answers(spark, d)).withColumnRenamed("id", "blind_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    answers = _answers(spark, d)
+    return truncation_rates(answers, truncated(answers))
+
+
+#: Field, widest distance of two valid values, and whether a value is valid.
+FIELDS = (("underlying_answer_quality", 2.0), ("full_qualitative_pass", 1.0))
+#: Labels are given where so many different evaluators gave a valid value.
+AT_LEAST = 3
+
+
+def _claims(spark: SparkSession, d: str, field: str) -> DataFrame:
+    s = _read(spark, d, "scores")
+    name = F.trim(F.regexp_replace(F.lower(F.regexp_extract("evaluator", r"^([^,;]*)", 1)), r"(?U)\s+", " "))
+    value = F.col(field).cast("int")
+    valid = value.between(1, 3) if field == FIELDS[0][0] else value.isNotNull()
+    known = _read(spark, d, "packets").select("blind_id").distinct()
+    rows = s.withColumns({"name": F.when(name != "", name), "value": F.when(valid, value)}).join(known, "blind_id", "left_semi")
+    return latest(rows, "blind_id", "name", "value", ["recorded_at", "ingested_at", "score_id"])
+
+
+def _label(field: str) -> Column:
+    value = F.col("value").cast("int")
+    return value.cast("string") if field == FIELDS[0][0] else F.when(value == 1, "true").otherwise("false")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for field, span in FIELDS:
+        items, _ = discover(_claims(spark, d, field), span)
+        rows = items.where(F.col("annotators") >= AT_LEAST).select(F.col("item").alias("blind_id"), F.lit(field).alias("field"), _label(field).alias("label"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def p5_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every packet's consensus, agreement and support in each field, however few evaluators."""
+    out = None
+    for field, span in FIELDS:
+        items, _ = discover(_claims(spark, d, field), span)
+        rows = items.select(F.col("item").alias("blind_id"), F.lit(field).alias("field"), _label(field).alias("label"), "annotators", F.round("agreement", 6).alias("agreement"), F.round("support", 6).alias("support"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def p5_evaluators(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluator's reliability in each field."""
+    out = None
+    for field, span in FIELDS:
+        _, annotators = discover(_claims(spark, d, field), span)
+        rows = annotators.select(F.col("annotator").alias("evaluator"), F.lit(field).alias("field"), "labels", F.round("reliability", 6).alias("reliability"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = token_sizes(_read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), ["id"])
+    kinds = _read(spark, d, "pack_capacities").select(F.col("container_kind").alias("kind"), F.col("capacity_tokens").alias("capacity"))
+    return pack(sizes, kinds)
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's container of each kind."""
+    return _packed(spark, d).select(F.col("kind").alias("container_kind"), "container", F.col("id").alias("doc_id"), "piece", F.col("size").alias("tokens"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used of each kind, the least possible number, and the share of their room that is filled."""
+    return packing_report(_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = _read(spark, d, "mix_targets").select("mix_id", source_name(F.col("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("cap"))
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), source_name(F.col("source")).alias("source"), "text")
+    # only texts of listed sources are measured; targets never grow
+    named = docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    return mix(token_sizes(named, ["id", "source"]), targets)
+
+
+def p8_copies(spark: SparkSession, d: str) -> DataFrame:
+    """How often each mix uses each document."""
+    return _mixed(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source of every mix."""
+    return _mixed(spark, d)[1]
+
+
+def _identified(spark: SparkSession, d: str) -> DataFrame:
+    return identify(_read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", code(F.col("lang")).alias("code")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _identified(spark, d).select("id", "code", F.filter("languages", lambda x: x["sentences"] > 0).alias("spoken"))
+    wrong = found.where((F.size("spoken") != 1) | F.col("code").isNull() | (F.get("spoken", F.lit(0))["language"] != F.col("code")))
+    return wrong.select(F.col("id").alias("doc_id"), F.explode("spoken.language").alias("lang"))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's languages with share and confidence."""
+    rows = _identified(spark, d).select(F.col("id").alias("doc_id"), F.explode("languages").alias("l"))
+    return rows.select("doc_id", "l.language", F.round("l.share", 6).alias("share"), F.round("l.confidence", 6).alias("confidence"), "l.sentences")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of one language with its confidence."""
+    rows = _identified(spark, d).select(F.col("id").alias("doc_id"), F.explode("segments").alias("s"))
+    return rows.select("doc_id", "s.begin", "s.sentences", "s.language", F.round("s.confidence", 6).alias("confidence"))
+
+
+_QUERIES = (
+    p1_found, p2_found, p3_found, p3_report, p4_found, p4_splits, p5_found, p5_items, p5_evaluators, p6_found, p6_report,
+    p7_containers, p7_report, p8_copies, p8_shares, p9_found, p9_documents, p9_segments,
+)
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_splits": p4_splits}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

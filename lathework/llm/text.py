@@ -14,6 +14,8 @@ _LETTERS = np.zeros(256, np.uint64)
 for _c in range(256):
     if _c > 127 or chr(_c).isalnum():
         _LETTERS[_c] = ord(chr(_c).lower()) if _c < 128 else _c
+#: Of the ASCII bytes, letters in lower case and digits stay, all others become blanks.
+_ASCII_WORDS = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 #: An odd base and its inverse modulo 2^64: a word's hash is its polynomial in the base, wherever it stands.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -24,9 +26,9 @@ def words(text: str | None) -> list[str]:
     """Maximal runs of letters or digits after NFKC and lower-casing; none for null."""
     if not text:
         return []
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return _WORD.findall(text.lower())
+    if text.isascii():
+        return text.encode().translate(_ASCII_WORDS).decode().split()
+    return _WORD.findall(unicodedata.normalize("NFKC", text).lower())
 
 
 def bag_overlap(a: Counter, b: Counter) -> float:
@@ -69,13 +71,13 @@ class Words:
     The words are those of words(); only the hashing runs over bytes, for all texts at once.
     """
 
-    def __init__(self, texts: list[str | None]):
-        raw = list(map(_plain, texts))
-        data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    def __init__(self, texts: list[str | None], plain=_plain):
+        raw = list(map(plain, texts))
+        self._data = data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         letter = _LETTERS[data]
         inside = letter > 0
         edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
-        begin, end = edge[0::2], edge[1::2]
+        begin, end = self._begin, self._end = edge[0::2], edge[1::2]
         up, down = powers(len(data) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letter * up[:-1], dtype=np.uint64)])
         self.hashes = mix((total[end] - total[begin]) * down[begin])
@@ -84,6 +86,10 @@ class Words:
         self.start = np.searchsorted(begin, bound)
         self.doc = np.repeat(np.arange(len(raw)), np.diff(self.start))
 
+    def word(self, k: int) -> bytes:
+        """The k-th word's letters in lower case."""
+        return self._data[self._begin[k] : self._end[k]].tobytes().lower()
+
     def sizes(self) -> np.ndarray:
         return np.diff(self.start)
 
