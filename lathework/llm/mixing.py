@@ -113,7 +113,7 @@ def mix(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a document gets one copy more where v is below its source's threshold; v is at least -1 and below 1
     short = {(r["mix_id"], r["source"]): r["goal"] - r["t"] for r in rated.groupBy("mix_id", "source").agg(F.first("goal").alias("goal"), F.sum(F.col("floor") * F.col("tokens")).alias("t")).collect()}
     span = {k: (-1.0, 1.0) for k in short}
-    for _ in range(2):
+    for last in (False, True):
         edges = spark.createDataFrame([(*k, a, b) for k, (a, b) in span.items()], "mix_id string, source string, a double, b double")
         cell = F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * CELLS).cast("int")
         # at most CELLS rows for each target come to the driver
@@ -123,7 +123,8 @@ def mix(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
             cells.setdefault((r["mix_id"], r["source"]), {})[r["cell"]] = r["t"]
         for k, (a, b) in span.items():
             width, c = (b - a) / CELLS, 0
-            while c < CELLS - 1 and short[k] - cells.get(k, {}).get(c, 0) >= 0:
+            # in the end to the nearest: the cell that passes the goal counts if half of it is missing
+            while c < CELLS - 1 and short[k] >= cells.get(k, {}).get(c, 0) * (0.5 if last else 1.0):
                 short[k] -= cells.get(k, {}).get(c, 0)
                 c += 1
             span[k] = (a + c * width, a + (c + 1) * width)
