@@ -1,9 +1,13 @@
 """All queries of the core, by name, with their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from .queries import QUERIES, SQL, contracts, evaluation, retrieval, sampling, text, training  # noqa: F401
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

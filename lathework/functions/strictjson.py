@@ -197,7 +197,7 @@ def checked_response(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([blank if t is None else check(t) for t in text], columns=CHECKED.fieldNames()).astype(object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """The canonical form of strict JSON, null for anything else."""
 

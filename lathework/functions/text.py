@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Python's str.split sees it, which Java's class misses in part.
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
@@ -27,7 +28,7 @@ def normalize(text: Column) -> Column:
     return trim(F.regexp_replace(fold(text), SPACE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_normalize(text: pd.Series) -> pd.Series:
     """As normalize, with canonical composition and full case folding of any script."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()))
