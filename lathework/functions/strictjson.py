@@ -10,191 +10,293 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Failure labels in their order, and the response contract.
+# Failure labels in their order, the response contract, and the form of a fenced answer.
 LABELS = (
-    "generation_failure", "markdown_fence", "surrounding_text", "duplicate_key", "json_syntax", "wrong_top_level_type", "missing_field",
-    "unexpected_field", "null_value", "wrong_field_type", "ingredient_count", "method_count", "blank_string", "non_positive_amount",
+    "markdown_fence", "surrounding_text", "duplicate_key", "json_syntax", "wrong_top_level_type", "missing_field", "unexpected_field",
+    "wrong_field_type", "ingredient_count", "method_count", "null_value", "blank_string", "non_positive_amount", "generation_failure",
 )
-FIELDS = ("title", "ingredients", "method", "garnish")
-INGREDIENT_FIELDS = ("amount", "unit", "name")
-INGREDIENT_COUNT, METHOD_COUNT = (3, 8), (2, 5)
+FIELDS = {"title": "string", "ingredients": "array", "method": "array", "garnish": "string"}
+INGREDIENT = {"amount": "number", "unit": "string", "name": "string"}
+COUNTS = {"ingredients": (3, 8, "ingredient_count"), "method": (2, 5, "method_count")}
+_FENCE = re.compile(r"\A```(?:[ \t]*[A-Za-z0-9][A-Za-z0-9._+-]*)?[ \t]*(?:\r\n|\n)(?:(?P<body>.*)(?:\r\n|\n))?```[ \t]*\Z", re.S)
 
-_FENCE = re.compile(r"\A\s*(`{3,}|~{3,})[^\n]*\n(.*?)\n?\s*\1\s*\Z", re.S)
-_TYPES = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null", Decimal: "number", int: "number", float: "number"}
+_BLANK = " \t\n\r"
+_BLANKS = re.compile(r"[ \t\n\r]*")
 
 
-class Refused(ValueError):
-    """A text that is no strict JSON, with the label of the reason."""
+class Number:
+    """A number by its digits: valid and of a sign however large or small it is."""
 
-    def __init__(self, label: str, detail: str, at: int = 0):
-        super().__init__(detail)
-        self.label, self.detail, self.at = label, detail, at
+    __slots__ = ("lexeme",)
 
+    def __init__(self, lexeme: str):
+        self.lexeme = lexeme
 
-def _pairs(pairs):
-    out = {}
-    for k, v in pairs:
-        if k in out:
-            raise Refused("duplicate_key", f"Key {k!r} occurs twice.")
-        out[k] = v
-    return out
+    def positive(self) -> bool:
+        return self.lexeme[0] != "-" and any(c in "123456789" for c in re.split("[eE]", self.lexeme)[0])
 
 
-def _constant(name):
-    raise Refused("json_syntax", "Numbers must be finite.")
+class Members(list):
+    """An object's members as they stand, repeated keys and all."""
 
 
-class _Number(Decimal):
-    """A number by its digits, however large its exponent."""
+class Broken(ValueError):
+    """Why no value could be read: empty, constant, or syntax at a character."""
 
+    def __init__(self, kind: str, at: int = 0):
+        super().__init__(kind)
+        self.kind, self.at = kind, at
 
-_DECODER = json.JSONDecoder(object_pairs_hook=_pairs, parse_constant=_constant, parse_float=_Number, parse_int=_Number)
-_BLANKS = re.compile(r"[ \t\n\r]*")
+    def detail(self) -> str:
+        if self.kind == "empty":
+            return "Output does not contain a JSON value."
+        if self.kind == "constant":
+            return "JSON contains an invalid numeric constant."
+        return f"JSON syntax error at character {self.at}."
 
 
-def parse(text: str):
-    """The value of a text that is one JSON value and nothing else: no byte order mark, repeated key, NaN or second value."""
-    if text.startswith("﻿"):
-        raise Refused("json_syntax", "A byte order mark precedes the value.")
-    start = _BLANKS.match(text).end()
-    if start == len(text):
-        raise Refused("json_syntax", "There is no value.")
+def _constant(_name):
+    raise Broken("constant")
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=Members, parse_constant=_constant, parse_float=Number, parse_int=Number)
+
+
+def _value(text: str, at: int):
+    """(value, end) of the one that starts at a character."""
     try:
-        value, end = _DECODER.raw_decode(text, start)
-    except (json.JSONDecodeError, RecursionError) as e:
-        raise Refused("json_syntax", f"JSON breaks at character {getattr(e, 'pos', 0)}.", getattr(e, "pos", 0)) from None
-    if _BLANKS.match(text, end).end() != len(text):
-        raise Refused("surrounding_text", "Something follows the value.", end)
+        return _DECODER.raw_decode(text, at)
+    except json.JSONDecodeError as e:
+        raise Broken("syntax", e.pos) from None
+    except RecursionError:
+        raise Broken("syntax", at) from None
+
+
+def _only(text: str):
+    """The value of a text that is one value and blanks."""
+    at = _BLANKS.match(text).end()
+    if at == len(text):
+        raise Broken("empty")
+    value, end = _value(text, at)
+    rest = _BLANKS.match(text, end).end()
+    if rest < len(text):
+        raise Broken("syntax", rest)
+    return value
+
+
+def _pointer(path: str, key) -> str:
+    return f"{path}/{str(key).replace('~', '~0').replace('/', '~1')}"
+
+
+def _plain(value, path: str, repeated: list[str]):
+    """The value with dicts for members; the pointers of keys that occur again are added to ``repeated``."""
+    if isinstance(value, Members):
+        out: dict = {}
+        for k, v in value:
+            if k in out:
+                repeated.append(_pointer(path, k))
+            out[k] = _plain(v, _pointer(path, k), repeated)
+        return out
+    if isinstance(value, list):
+        return [_plain(v, _pointer(path, i), repeated) for i, v in enumerate(value)]
+    return value
+
+
+def parse(text: str):
+    """The value of strict JSON: one value and nothing else, no byte order mark, repeated key, NaN or infinity; else Broken."""
+    if text.startswith("\ufeff"):
+        raise Broken("syntax", 0)
+    repeated: list[str] = []
+    value = _plain(_only(text), "", repeated)
+    if repeated:
+        raise Broken("syntax", 0)
     return value
 
 
 def canonical(value) -> str:
-    """Sorted keys, no blanks, characters as they are; numbers by their digits."""
+    """Sorted keys, no blanks, characters as they are; integers by their digits, other numbers as the nearest double."""
     if isinstance(value, dict):
         return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + canonical(value[k]) for k in sorted(value)) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, Decimal):
-        return str(int(value)) if value == value.to_integral_value() and value.as_tuple().exponent == 0 else repr(float(value))
+    if isinstance(value, Number):
+        whole = not any(c in value.lexeme for c in ".eE")
+        return str(int(Decimal(value.lexeme))) if whole else repr(float(value.lexeme))
     return json.dumps(value, ensure_ascii=False)
 
 
-def _shape(value) -> list[tuple[str, str]]:
-    """(label, JSON pointer) of everything a parsed response breaks in the contract."""
-    if not isinstance(value, dict):
-        return [("wrong_top_level_type", "")]
-    out = [("missing_field", f"/{f}") for f in FIELDS if f not in value]
-    out += [("unexpected_field", "/" + k.replace("~", "~0").replace("/", "~1")) for k in value if k not in FIELDS]
-    for f in ("title", "garnish"):
-        if f in value:
-            out += _string(value[f], f"/{f}")
-    for f, (lo, hi), label in (("ingredients", INGREDIENT_COUNT, "ingredient_count"), ("method", METHOD_COUNT, "method_count")):
-        items = value.get(f, [])
-        if items is None:
-            out.append(("null_value", f"/{f}"))
-        elif not isinstance(items, list):
-            out.append(("wrong_field_type", f"/{f}"))
-        elif f in value:
-            if not lo <= len(items) <= hi:
-                out.append((label, f"/{f}"))
-            for i, x in enumerate(items):
-                out += _string(x, f"/{f}/{i}") if f == "method" else _ingredient(x, f"/{f}/{i}")
-    return out
+def _diagnose(text: str):
+    """(value or None, diagnostics): what keeps a text from being one strict value, by the first reading that fits."""
+    try:
+        repeated: list[str] = []
+        value = _plain(_only(text), "", repeated)
+        return (None if repeated else (value,)), _repeats(repeated)
+    except Broken as e:
+        first = e
+    core = text.strip(_BLANK)
+    fence = _FENCE.match(core)
+    if fence:
+        body, out = fence.group("body") or "", [("markdown_fence", "", "Output is wrapped in a Markdown code fence.")]
+        try:
+            repeated = []
+            _plain(_only(body), "", repeated)
+            return None, out + _repeats(repeated)
+        except Broken as e:
+            several, _ = _sequence(body)
+            return None, [*out, ("json_syntax", "", _SEVERAL if several and e.kind == "syntax" else e.detail())]
+    several, repeated = _sequence(text)
+    if several:
+        return None, [*_repeats(repeated), ("json_syntax", "", _SEVERAL)]
+    found = _embedded(core)
+    if found is not None:
+        return None, [("surrounding_text", "", "A complete JSON object or array has non-whitespace text outside it."), *_repeats(found)]
+    return None, [("json_syntax", "", first.detail())]
+
+
+_SEVERAL = "Output contains multiple complete JSON values."
+
 
+def _repeats(pointers: list[str]) -> list[tuple[str, str, str]]:
+    return [("duplicate_key", p, "Object key occurs more than once.") for p in pointers]
 
-def _string(value, path: str) -> list[tuple[str, str]]:
+
+def _sequence(text: str) -> tuple[bool, list[str]]:
+    """Whether a text is two values or more with blanks between, and the repeated keys in them."""
+    at, n, repeated = _BLANKS.match(text).end(), 0, []
+    while at < len(text):
+        try:
+            value, end = _value(text, at)
+        except Broken:
+            return False, []
+        _plain(value, "", repeated)
+        n += 1
+        at = _BLANKS.match(text, end).end()
+        if at == end and at < len(text):
+            return False, []
+    return n >= 2, repeated
+
+
+def _embedded(core: str) -> list[str] | None:
+    """The repeated keys of the one object or array inside prose; null unless there is just one, and no bracket before it."""
+    opening = [i for i, c in enumerate(core) if c in "{["]
+    found, reach = [], 0
+    for at in opening:
+        if at >= reach:
+            try:
+                value, reach = _value(core, at)
+                found.append((at, value))
+            except Broken:
+                continue
+    if len(found) != 1 or found[0][0] != opening[0]:
+        return None
+    repeated: list[str] = []
+    _plain(found[0][1], "", repeated)
+    return repeated
+
+
+def _kind(value) -> str:
     if value is None:
-        return [("null_value", path)]
-    if not isinstance(value, str):
-        return [("wrong_field_type", path)]
-    return [] if value.strip() else [("blank_string", path)]
+        return "null"
+    if isinstance(value, bool):
+        return "boolean"
+    return {Number: "number", str: "string", list: "array", dict: "object"}[type(value)]
 
 
-def _ingredient(value, path: str) -> list[tuple[str, str]]:
+def _expect(value, kind: str, path: str, out: list) -> bool:
+    """Whether a value is of a kind; if not, why is noted."""
     if value is None:
-        return [("null_value", path)]
-    if not isinstance(value, dict):
-        return [("wrong_field_type", path)]
-    out = [("missing_field", f"{path}/{f}") for f in INGREDIENT_FIELDS if f not in value]
-    out += [("unexpected_field", f"{path}/{k}") for k in value if k not in INGREDIENT_FIELDS]
-    for f in ("unit", "name"):
+        out.append(("null_value", path, "Null is not permitted."))
+    elif _kind(value) != kind:
+        if path:
+            out.append(("wrong_field_type", path, f"Expected {kind}; observed {_kind(value)}."))
+        else:
+            out.append(("wrong_top_level_type", "", f"Expected {kind} at root; observed {_kind(value)}."))
+    else:
+        return True
+    return False
+
+
+def _closed(value: dict, fields: dict, path: str, out: list) -> None:
+    out += [("missing_field", _pointer(path, f), "Required field is missing.") for f in fields if f not in value]
+    out += [("unexpected_field", _pointer(path, f), "Field is not permitted.") for f in value if f not in fields]
+
+
+def _text(value, path: str, out: list) -> None:
+    if _expect(value, "string", path, out) and not value.strip():
+        out.append(("blank_string", path, "String must contain a non-whitespace character."))
+
+
+def _contract(value) -> list[tuple[str, str, str]]:
+    """Everything a parsed response breaks in the contract."""
+    out: list = []
+    if not _expect(value, "object", "", out):
+        return out
+    _closed(value, FIELDS, "", out)
+    for f in ("title", "garnish"):
         if f in value:
-            out += _string(value[f], f"{path}/{f}")
-    if "amount" in value:
-        a = value["amount"]
-        if a is None:
-            out.append(("null_value", f"{path}/amount"))
-        elif not isinstance(a, Decimal):
-            out.append(("wrong_field_type", f"{path}/amount"))
-        elif a <= 0:
-            out.append(("non_positive_amount", f"{path}/amount"))
+            _text(value[f], f"/{f}", out)
+    for f, (lo, hi, label) in COUNTS.items():
+        if f in value and _expect(value[f], "array", f"/{f}", out):
+            if not lo <= len(value[f]) <= hi:
+                out.append((label, f"/{f}", f"Expected {lo}–{hi} items; observed {len(value[f])}."))
+            for i, x in enumerate(value[f]):
+                (_text if f == "method" else _ingredient)(x, f"/{f}/{i}", out)
     return out
 
 
+def _ingredient(value, path: str, out: list) -> None:
+    if not _expect(value, "object", path, out):
+        return
+    _closed(value, INGREDIENT, path, out)
+    for f in ("unit", "name"):
+        if f in value:
+            _text(value[f], f"{path}/{f}", out)
+    if "amount" in value and _expect(value["amount"], "number", f"{path}/amount", out) and not value["amount"].positive():
+        out.append(("non_positive_amount", f"{path}/amount", "Amount must be greater than zero."))
+
+
 def check(text: str) -> dict:
-    """Whether a raw response is strict JSON and keeps the contract; all labels in order, with their paths."""
-    found: list[tuple[str, str]] = []
-    value, ok = None, False
-    try:
-        value, ok = parse(text), True
-    except Refused as e:
-        label = e.label
-        if label != "duplicate_key":
-            inner = _FENCE.match(text)
-            if inner:
-                label = "markdown_fence"
-            elif label == "json_syntax" or e.at:
-                root = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
-                label = "json_syntax"
-                if root >= 0:
-                    try:
-                        _, end = _DECODER.raw_decode(text, root)
-                        rest = text[end:].strip()
-                        again = rest[:1] in "{[" and rest != ""
-                        label = "json_syntax" if again else "surrounding_text"
-                    except Refused as inner_e:
-                        label = inner_e.label
-                    except (json.JSONDecodeError, RecursionError):
-                        pass
-        found.append((label, ""))
-    if ok:
-        found += _shape(value)
-    found.sort(key=lambda x: (LABELS.index(x[0]), x[1]))
-    is_object = ok and isinstance(value, dict)
-    size = lambda f: len(value[f]) if is_object and isinstance(value.get(f), list) else None
+    """Whether a raw response is strict JSON and keeps the contract; all diagnostics, by label, path and detail."""
+    read, found = _diagnose(text)
+    if read:
+        found += _contract(read[0])
+    found.sort(key=lambda x: (LABELS.index(x[0]), x[1], x[2]))
+    value = read[0] if read else None
+    size = lambda f: len(value[f]) if isinstance(value, dict) and isinstance(value.get(f), list) else None
+    present = {x[0] for x in found}
     return {
-        "json_valid": ok,
-        "schema_valid": ok and not found,
-        "failure_labels": list(dict.fromkeys(l for l, _ in found)),
-        "diagnostics": [{"label": l, "path": p} for l, p in found],
+        "json_valid": read is not None,
+        "schema_valid": read is not None and not found,
+        "failure_labels": [x for x in LABELS if x in present],
+        "diagnostics": [dict(zip(("label", "path", "detail"), x)) for x in found],
         "characters": len(text),
-        "top_level_keys": sorted(value) if is_object else None,
+        "top_level_keys": sorted(value) if isinstance(value, dict) else None,
         "ingredients": size("ingredients"),
         "method_steps": size("method"),
-        "canonical": canonical(value) if ok else None,
+        "canonical": canonical(value) if read else None,
     }
 
 
-CHECKED = T.StructType(
-    [
-        T.StructField("json_valid", T.BooleanType()),
-        T.StructField("schema_valid", T.BooleanType()),
-        T.StructField("failure_labels", T.ArrayType(T.StringType())),
-        T.StructField("diagnostics", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("path", T.StringType())]))),
-        T.StructField("characters", T.LongType()),
-        T.StructField("top_level_keys", T.ArrayType(T.StringType())),
-        T.StructField("ingredients", T.IntegerType()),
-        T.StructField("method_steps", T.IntegerType()),
-        T.StructField("canonical", T.StringType()),
-    ]
+_STRING, _FLAG = T.StringType(), T.BooleanType()
+CHECKED = (
+    T.StructType()
+    .add("json_valid", _FLAG)
+    .add("schema_valid", _FLAG)
+    .add("failure_labels", T.ArrayType(_STRING))
+    .add("diagnostics", T.ArrayType(T.StructType().add("label", _STRING).add("path", _STRING).add("detail", _STRING)))
+    .add("characters", T.LongType())
+    .add("top_level_keys", T.ArrayType(_STRING))
+    .add("ingredients", T.IntegerType())
+    .add("method_steps", T.IntegerType())
+    .add("canonical", _STRING)
 )
+_MISSING = dict.fromkeys(CHECKED.fieldNames()) | {"json_valid": False, "schema_valid": False, "failure_labels": ["generation_failure"], "diagnostics": []}
 
 
 @F.pandas_udf(CHECKED)
 def checked_response(text: pd.Series) -> pd.DataFrame:
-    """check() of every text; a null text is all nulls but for being invalid."""
-    blank = dict.fromkeys(CHECKED.fieldNames()) | {"json_valid": False, "schema_valid": False, "failure_labels": ["generation_failure"], "diagnostics": []}
-    return pd.DataFrame([blank if t is None else check(t) for t in text], columns=CHECKED.fieldNames()).astype(object)
+    """check() of every text; a null text is a generation failure."""
+    return pd.DataFrame([_MISSING if t is None else check(t) for t in text], columns=CHECKED.fieldNames()).astype(object)
 
 
 @F.pandas_udf(T.StringType())
@@ -204,7 +306,7 @@ def canonical_json(text: pd.Series) -> pd.Series:
     def one(t):
         try:
             return None if t is None else canonical(parse(t))
-        except Refused:
+        except Broken:
             return None
 
     return text.map(one)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hash_order
+from ..functions.text import derive_seed, hash_order, json_string
 
 #: Runs of equal leading hex digits that are counted apart when ranks are found: a fixed number.
 PREFIX = 3
@@ -34,12 +35,25 @@ def hash_rank(df: DataFrame, key: Column, tie: str, by: list[str] | None = None)
 
 
 def schedule(prompts: DataFrame, systems: list[str], repeats: int, seed: int, prompt: str = "prompt_id") -> DataFrame:
-    """``prompt, system_id, repeat_index, attempt_index``: every prompt with every system and repeat, in seeded order from 1."""
+    """``prompt, system_id, repeat_index, generation_seed, attempt_index``: every prompt with every system and repeat, in seeded order from 0.
+
+    The order's key is the digest of canonical JSON with a seed of its own, drawn from ``seed``; an attempt's generation
+    seed depends on prompt and repeat only, so that systems are paired. Prompts hold no control characters.
+    """
+    order_seed = derived(seed, "execution-order")
     each = F.array(*[F.struct(F.lit(s).alias("system_id"), F.lit(r).alias("repeat_index")) for s in systems for r in range(repeats)])
     rows = prompts.select(prompt).distinct().select(prompt, F.explode(each).alias("x")).select(prompt, "x.*")
-    rows = rows.withColumn("__id", F.concat_ws("|", prompt, "system_id", F.col("repeat_index").cast("string")))
-    ranked = hash_rank(rows, hash_order("attempt-order-v1", seed, F.col("__id")), "__id")
-    return ranked.select(prompt, "system_id", "repeat_index", F.col("position").alias("attempt_index"))
+    name, system, repeat = json_string(F.col(prompt)), json_string(F.col("system_id")), F.col("repeat_index").cast("string")
+    key = F.sha2(F.concat(F.lit('{"namespace":"execution-order-key","parts":[' + str(order_seed) + ","), F.concat_ws(",", name, system, repeat), F.lit("]}")), 256)
+    rows = rows.withColumns({"generation_seed": derive_seed("generation", F.lit(str(seed)), name, repeat), "__id": F.concat_ws("\u0000", prompt, "system_id", repeat)})
+    ranked = hash_rank(rows, key, "__id")
+    return ranked.select(prompt, "system_id", "repeat_index", "generation_seed", (F.col("position") - 1).alias("attempt_index"))
+
+
+def derived(seed: int, namespace: str) -> int:
+    """derive_seed of one number, on the driver."""
+    text = '{"namespace":"' + namespace + '","parts":[' + str(seed) + "]}"
+    return int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
 
 
 def smallest(df: DataFrame, key: Column, n: int) -> DataFrame:
@@ -47,12 +61,12 @@ def smallest(df: DataFrame, key: Column, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def stratified(df: DataFrame, id_: str, group: str, stratum: str, each: int, total: int, seed: int) -> DataFrame:
+def stratified(df: DataFrame, id_: str, group: str, stratum: str, each: int, total: int, seed: int, namespace: str = "stratified-v1") -> DataFrame:
     """``id, group, stratum, phase``: ``each`` rows of every stratum of a group, then filled to ``total`` within the group, in seeded order.
 
     A group with too few rows stays short; none is filled from another. phase is 1 for the strata's rows, 2 for the fill.
     """
-    key = hash_order("stratified-v1", seed, F.col(id_).cast("string"))
+    key = hash_order(namespace, seed, F.col(id_).cast("string"))
     rows = df.select(id_, group, stratum).withColumn("__k", key)
     first = rows.withColumn("__r", F.row_number().over(Window.partitionBy(group, stratum).orderBy("__k"))).withColumn("phase", F.when(F.col("__r") <= each, 1).otherwise(2))
     # no more than total rows of a group can be chosen, strata first
@@ -61,11 +75,11 @@ def stratified(df: DataFrame, id_: str, group: str, stratum: str, each: int, tot
 
 
 def counterbalance(pairs: DataFrame, id_: str, first: str, second: str, seed: int) -> DataFrame:
-    """``id, position, response_a, response_b``: in seeded order the first half shows ``second`` first, the rest ``first``."""
+    """``id, position, response_a, response_b``: in seeded order the first half shows ``first`` first, the rest ``second``."""
     ranked = hash_rank(pairs.select(id_).distinct(), hash_order("pairwise-order-v1", seed, F.col(id_).cast("string")), id_)
     n = F.broadcast(ranked.agg(F.floor(F.count("*") / 2).alias("half")))
     early = F.col("position") <= F.col("half")
-    return ranked.withColumn("one", F.lit(1)).join(n.withColumn("one", F.lit(1)), "one").select(id_, "position", F.when(early, F.lit(second)).otherwise(F.lit(first)).alias("response_a"), F.when(early, F.lit(first)).otherwise(F.lit(second)).alias("response_b"))
+    return ranked.withColumn("one", F.lit(1)).join(n.withColumn("one", F.lit(1)), "one").select(id_, "position", F.when(early, F.lit(first)).otherwise(F.lit(second)).alias("response_a"), F.when(early, F.lit(second)).otherwise(F.lit(first)).alias("response_b"))
 
 
 def resample_by_hash(n: int, draws: int, seed: int, draw: Column, slot: Column) -> Column:

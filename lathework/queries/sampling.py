@@ -12,14 +12,18 @@ from . import query, read
 SEED = 20260715
 
 
+_ORDER_SEED = S.derived(SEED, "execution-order")
+
+
 @query(
     f"""with p as (select distinct case_id as prompt_id from contamination_calibration), e as (select prompt_id, s as system_id, r as repeat_index from p, (select unnest(['A', 'B', 'C', 'D']) as s), (select unnest([0, 1]) as r))
-    select prompt_id, system_id, repeat_index, row_number() over (order by sha256(concat_ws('|', 'attempt-order-v1', '{SEED}', concat_ws('|', prompt_id, system_id, cast(repeat_index as varchar)))), concat_ws('|', prompt_id, system_id, cast(repeat_index as varchar))) as attempt_index from e"""
+    select prompt_id, system_id, repeat_index, cast(('0x' || left(sha256('{{"namespace":"generation","parts":[{SEED},"' || prompt_id || '",' || repeat_index || ']}}'), 16))::ubigint as varchar) as generation_seed,
+    row_number() over (order by sha256('{{"namespace":"execution-order-key","parts":[{_ORDER_SEED},"' || prompt_id || '","' || system_id || '",' || repeat_index || ']}}'), prompt_id, system_id, repeat_index) - 1 as attempt_index from e"""
 )
 def schedule_attempts(spark, d):
-    """Four systems twice over every calibration case, in seeded order."""
+    """Four systems twice over every calibration case, in seeded order, with generation seeds as text."""
     prompts = read(spark, d, "contamination_calibration").select(F.col("case_id").alias("prompt_id"))
-    return S.schedule(prompts, ["A", "B", "C", "D"], 2, SEED)
+    return S.schedule(prompts, ["A", "B", "C", "D"], 2, SEED).withColumn("generation_seed", F.col("generation_seed").cast("string"))
 
 
 @query("""select distinct example_id, cast(('0x' || left(sha256('{"namespace":"generation","parts":[20260714,"' || example_id || '",1]}'), 16))::ubigint as varchar) as seed from candidates""")
@@ -48,7 +52,7 @@ def calibration_stratified(spark, d):
 
 @query(
     f"""with p as (select distinct case_id from contamination_calibration), r as (select case_id, row_number() over (order by sha256(concat_ws('|', 'pairwise-order-v1', '{SEED}', case_id)), case_id) as position, count(*) over () as n from p)
-    select case_id, position, case when position <= floor(n / 2) then 'C' else 'B' end as response_a, case when position <= floor(n / 2) then 'B' else 'C' end as response_b from r"""
+    select case_id, position, case when position <= floor(n / 2) then 'B' else 'C' end as response_a, case when position <= floor(n / 2) then 'C' else 'B' end as response_b from r"""
 )
 def pair_counterbalance(spark, d):
     """Which of two systems each case shows first: either half the cases."""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.strictjson import Refused, canonical, parse
+from ..functions.strictjson import Broken, canonical, parse
 
 LINES = "path string, line int, raw string, canonical string, problem string"
 
@@ -49,8 +49,8 @@ def _file(path: str, content: bytes, strict: bool) -> pa.RecordBatch:
             continue
         try:
             value = parse(raw)
-        except Refused as e:
-            rows.append((n, raw, None, e.detail))
+        except Broken as e:
+            rows.append((n, raw, None, e.detail()))
             continue
         form = canonical(value)
         problem = "not an object" if not isinstance(value, dict) else "not canonical" if strict and form != raw else None
