@@ -8,6 +8,8 @@ counts: a structure that never closes, prose that stops inside a sentence, or a
 
 from __future__ import annotations
 
+import zlib
+
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -19,11 +21,11 @@ from .pair_defects import copies
 from .text import words
 
 WHOLE = "text"
-_SCHEMA = "id string, source string, broken boolean, ends array<struct<kind string, length int, open boolean, last string, apart boolean>>"
+_SCHEMA = "id string, source string, broken boolean, ends array<struct<kind string, length int, open boolean, last string, apart boolean, value long>>"
 
 
 def endings(prompt: str | None, text: str) -> tuple[bool, list[tuple]]:
-    """(broken, ends): whether the text can't be whole, and kind, length, openness, last word and setting of each ending.
+    """(broken, ends): whether the text can't be whole, and kind, length, openness, last word, setting and value's hash of each ending.
 
     ``apart``: nothing beside the ending says how such texts end here. Else its siblings do, by final punctuation.
     """
@@ -32,7 +34,7 @@ def endings(prompt: str | None, text: str) -> tuple[bool, list[tuple]]:
     if not body or says_nothing(a):
         return False, []
     # what is broken shows limits too
-    stopped = [(WHOLE, len(text), True, final_word(body), False)]
+    stopped = [(WHOLE, len(text), True, final_word(body), False, _hash(text))]
     if body[-1] == "�" or a.closed is False:
         return True, stopped
     ends: list[tuple] = []
@@ -43,8 +45,8 @@ def endings(prompt: str | None, text: str) -> tuple[bool, list[tuple]]:
             if prompt and copies(words(body), words(prompt)) and len(words(body)) >= 0.95 * len(words(prompt)):
                 return False, []
             return True, stopped
-        return False, [(WHOLE, len(text), opened, final_word(body), apart)]
-    ends.append((WHOLE, len(text), False, "", True))
+        return False, [(WHOLE, len(text), opened, final_word(body), apart, _hash(text))]
+    ends.append((WHOLE, len(text), False, "", True, _hash(text)))
     siblings: dict[str, list[str]] = {}
     for k, v in a.values:
         siblings.setdefault(k, []).append(v)
@@ -54,10 +56,14 @@ def endings(prompt: str | None, text: str) -> tuple[bool, list[tuple]]:
             if v.strip():
                 if v.rstrip()[-1] == "�" or (v.rstrip()[-1] == "…" and ends_open(v)):
                     return True, []
-                ends.append((k, len(v), ends_open(v), final_word(v), closed_ones == 0))
+                ends.append((k, len(v), ends_open(v), final_word(v), closed_ones == 0, _hash(v)))
     return False, ends
 
 
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode(errors="replace"))
+
+
 def limits(ends: DataFrame, reach: int = 5, least_ratio: float = 3.0, rate: float = 0.01) -> DataFrame:
     """``source, kind, length`` at which endings are open far more often than at the ``reach`` lengths on either side.
 
@@ -90,16 +96,17 @@ def truncated(texts: DataFrame, known: int = 3) -> DataFrame:
 
     texts: ``id, source, prompt, text``; further columns are ignored. Null ids and texts and texts that say nothing are
     not cut; texts without a source go by the limits over all; repeated rows count once; an empty table gives none. An open
-    ending at a limit is a cut unless nothing in the text shows how its kind ends and its last word ends at least
-    ``known`` texts of the kind elsewhere.
+    ending at a limit is a cut unless nothing in the text shows how its kind ends and either its last word ends at least
+    ``known`` texts of the kind at other lengths, or the same value ends so many there and a fiftieth of all that end
+    open there, as the few values of an enumeration do.
     """
 
     def scan(batches):
         for batch in batches:
             rows = batch.to_pydict()
             out = [endings(p, t) for p, t in zip(rows["prompt"], rows["text"])]
-            ends = [[dict(zip(("kind", "length", "open", "last", "apart"), e)) for e in x] for _, x in out]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("length", pa.int32()), ("open", pa.bool_()), ("last", pa.string()), ("apart", pa.bool_())]))
+            ends = [[dict(zip(("kind", "length", "open", "last", "apart", "value"), e)) for e in x] for _, x in out]
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("length", pa.int32()), ("open", pa.bool_()), ("last", pa.string()), ("apart", pa.bool_()), ("value", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.string()), pa.array(rows["source"], pa.string()), pa.array([b for b, _ in out]), pa.array(ends, kind)], ["id", "source", "broken", "ends"])
 
     rows = texts.where("id is not null and text is not null").select("id", "source", "prompt", "text")
@@ -107,11 +114,14 @@ def truncated(texts: DataFrame, known: int = 3) -> DataFrame:
     ends = seen.select("id", "source", F.explode("ends").alias("e")).select("id", "source", "e.*")
     found = cut(limits(ends.select("id", "source", "kind", "length", "open").drop("id")))
     at = ends.where("open").join(found.select(F.col("source").alias("s"), F.col("kind").alias("k"), F.col("length").alias("l")).distinct(), F.expr("kind = k and length = l and s <=> source"))
-    at = at.select("id", "kind", "last", "apart").distinct()
+    at = at.select("id", "kind", "length", "last", "apart", "value").distinct()
     places = found.select("kind", "length").distinct().withColumn("limit", F.lit(True))
     elsewhere = ends.join(places, ["kind", "length"], "left").where("limit is null")
     finals = elsewhere.groupBy("kind", "last").agg(F.count("*").alias("n")).where(F.col("n") >= known).select("kind", "last")
-    unknown = at.where("not apart").unionByName(at.where("apart").join(finals, ["kind", "last"], "left_anti"))
+    per = at.groupBy("kind", "length", "value").agg(F.count("*").alias("n"))
+    common = per.withColumn("all", F.sum("n").over(Window.partitionBy("kind", "length"))).where((F.col("n") >= known) & (F.col("n") * 50 >= F.col("all"))).select("kind", "length", "value")
+    apart = at.where("apart").join(finals, ["kind", "last"], "left_anti").join(common, ["kind", "length", "value"], "left_anti")
+    unknown = at.where("not apart").unionByName(apart)
     return seen.where("broken").select("id").unionByName(unknown.select("id")).distinct()
 
 
