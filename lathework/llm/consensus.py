@@ -3,6 +3,8 @@
 An annotator's weight is the lower bound of its precision: the chi-squared quantile of its number of labels over the sum
 of their squared distances to the consensus, so that few labels earn little trust, however well they fit. Consensus
 labels and weights are found in turn: the label of an item is the one with the least weighted distance to all its labels.
+An annotator is measured against the consensus of the others, as one who outweighs all else would only ever agree with
+what they themselves decide.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from ..plans.materialize import Cuts
 from ..plans.skew import join_hot
 
 #: Added to an annotator's summed distance, so that perfect agreement has a finite weight.
-FLOOR = 0.05
+FLOOR = 0.5
 
 
 def chi2_lower(n: Column, z: float = -1.959964) -> Column:
@@ -46,26 +48,35 @@ def discover(claims: DataFrame, span: float, rounds: int = 12, settled: float =
     cuts = Cuts(claims.sparkSession)
     claims = cuts.cut(claims)
     total = claims.count()
-    weights = cuts.cut(claims.groupBy("annotator").agg(F.count("*").alias("n")).withColumns({"d": F.lit(0.0), "w": F.lit(1.0)}))
+    weights = cuts.cut(claims.groupBy("annotator").agg(F.count("*").alias("n")).withColumns({"m": F.lit(0).cast("long"), "d": F.lit(0.0), "w": F.lit(1.0)}))
     for _ in range(rounds):
-        labels = consensus(claims, weights, total)
-        d = F.pow((F.col("value") - F.col("truth")) / span, 2)
-        away = claims.join(labels.select("item", F.col("value").alias("truth")), "item").groupBy("annotator").agg(F.count("*").alias("n"), F.sum(d).alias("d"))
-        new = cuts.cut(away.withColumn("w", chi2_lower(F.col("n").cast("double")) / (F.col("d") + FLOOR)))
+        held = weighted(claims, weights, total)
+        others = F.expr("transform(v, x -> struct(aggregate(v, 0D, (s, y) -> s + (y.w - if(y.value = value, w, 0D)) * abs(y.value - x.value)) as cost, if(x.value = value, 1, 0) - x.c as fewer, x.value as value))")
+        away = held.join(gathered(held), "item").where("annotators > 1").withColumn("truth", F.array_min(others)["value"])
+        measured = away.groupBy("annotator").agg(F.count("*").alias("m"), F.sum(F.pow((F.col("value") - F.col("truth")) / span, 2)).alias("d"))
+        # who never met another keeps the weight of nobody's trust
+        new = weights.select("annotator", "n").join(measured, "annotator", "left").fillna({"m": 0, "d": 0.0})
+        new = cuts.cut(new.withColumn("w", chi2_lower(F.greatest("m", F.lit(1)).cast("double")) / (F.col("d") + FLOOR)))
         moved = new.select("annotator", F.col("w").alias("now")).join(weights, "annotator").agg(F.max(F.abs(F.col("now") / F.col("w") - 1)).alias("m")).first()["m"]
         weights = new
         if moved is None or moved <= settled:
             break
-    bound = F.sqrt(F.least(F.lit(1.0), (F.col("d") + FLOOR) / chi2_lower(F.col("n").cast("double"))))
+    bound = F.sqrt(F.least(F.lit(1.0), (F.col("d") + FLOOR) / chi2_lower(F.greatest("m", F.lit(1)).cast("double"))))
     annotators = weights.select("annotator", F.col("n").alias("labels"), F.col("d").alias("distance"), F.col("w").alias("weight"), (1 - bound).alias("reliability"))
-    return consensus(claims, weights, total), annotators
+    return consensus(weighted(claims, weights, total)), annotators
 
 
-def consensus(claims: DataFrame, weights: DataFrame, total: int) -> DataFrame:
-    held = join_hot(claims, weights.select("annotator", "n", "w"), "annotator", "n", max(1, total))
+def weighted(claims: DataFrame, weights: DataFrame, total: int) -> DataFrame:
+    return join_hot(claims, weights.select("annotator", "n", "w"), "annotator", "n", max(1, total))
+
+
+def gathered(held: DataFrame) -> DataFrame:
+    """``item, v, all_w, annotators``: each item's different values with their weight and number, as many entries as there are."""
     votes = held.groupBy("item", "value").agg(F.sum("w").alias("w"), F.count("*").alias("c"))
-    # as many entries for an item as it has different values
-    gathered = votes.groupBy("item").agg(F.collect_list(F.struct("value", "w", "c")).alias("v"), F.sum("w").alias("all_w"), F.sum("c").alias("annotators"))
+    return votes.groupBy("item").agg(F.collect_list(F.struct("value", "w", "c")).alias("v"), F.sum("w").alias("all_w"), F.sum("c").alias("annotators"))
+
+
+def consensus(held: DataFrame) -> DataFrame:
     cost = F.expr("transform(v, x -> struct(aggregate(v, 0D, (s, y) -> s + y.w * abs(y.value - x.value)) as cost, -x.c as fewer, x.value as value, x.w as w, x.c as c))")
-    best = gathered.withColumn("best", F.array_min(cost))
+    best = gathered(held).withColumn("best", F.array_min(cost))
     return best.select("item", "best.value", "annotators", (F.col("best.c") / F.col("annotators")).alias("agreement"), (F.col("best.w") / F.col("all_w")).alias("support"))
