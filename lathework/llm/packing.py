@@ -50,13 +50,12 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list
         loose = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
         if len(loose) < 2 or sum(capacity - fill[b] for b in loose) < capacity:
             break
-        givers = loose[: min(DONORS, max(1, len(loose) // 2))]
-        pool = sorted((sizes[i], i, b) for b in givers for i in bins[b])
         changed = False
         for t in reversed(loose):
-            if t in givers or not pool:
-                continue
             gap = capacity - fill[t]
+            # the emptiest bins give, and only to bins at least as full as themselves
+            givers = [b for b in loose[: DONORS + 1] if b != t and bins[b] and fill[b] <= fill[t]][:DONORS]
+            pool = sorted((sizes[i], i, b) for b in givers for i in bins[b])
             while gap > 0 and pool:
                 move = _move(bins[t], sizes, gap, pool)
                 if move is None:
