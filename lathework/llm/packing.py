@@ -148,7 +148,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, group: int = 4000) -> DataFram
     done = done.select(*columns)
     schema = "kind string, capacity int, container string, id long, piece int, size int, room int"
 
-    def fill(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["size", "id", "piece"], ascending=[False, True, True], ignore_index=True)
         capacity, size = int(frame["capacity"].iloc[0]), frame["size"].tolist()
         bins = improve(best_fit(size, capacity), size, capacity)

@@ -13,6 +13,7 @@ from .mixing import mix, source_name
 from .near_dup import near_duplicates
 from .packing import pack, packing_report
 from .pair_defects import pair_defects
+from .sql import P1_FOUND, P3_FOUND, P4_FOUND
 from .tokens import token_sizes
 from .truncation import truncated, truncation_rates
 
@@ -223,4 +224,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
