@@ -33,16 +33,15 @@ class Cuts:
         self.made.append(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, keep: int = 0) -> None:
-        """Deletes all tables but the last ``keep``, which nothing may read any more."""
+    def drop(self, first: int, keep: int) -> None:
+        """Deletes the tables from number ``first`` on, but for the last ``keep``; nothing may read them any more."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        gone = self.made[: len(self.made) - keep]
-        for path in gone:
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
+        for k in range(first, len(self.made) - keep):
+            if self.made[k]:
+                p = jvm.org.apache.hadoop.fs.Path(self.made[k])
                 p.getFileSystem(conf).delete(p, True)
-        self.made[: len(gone)] = [""] * len(gone)
+                self.made[k] = ""
 
 
 def cut(df: DataFrame) -> DataFrame:
