@@ -28,6 +28,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         # an order-free digest of the edge set, as sums of 32-bit halves so that nothing overflows
         h = F.xxhash64("u", "v")
         state = tuple(e.select(F.count("*").alias("n"), F.sum(F.expr("cast(u & 4294967295 as decimal(20,0))")).alias("a"), F.sum(h.cast("decimal(20,0)")).alias("b")).first())
+        # each round reads only the one before
+        cuts.drop(1, keep=1)
         if state == before:
             break
         before = state

@@ -34,7 +34,7 @@ def latest(scores: DataFrame, item: str, annotator: str, value: str, order: list
 
 
 def discover(claims: DataFrame, span: float, rounds: int = 12, settled: float = 0.005) -> tuple[DataFrame, DataFrame]:
-    """(items, annotators) from ``claims`` with item, annotator and a numeric value, one row for each annotator of an item.
+    """(items, annotators) from ``claims`` with item, annotator and a numeric value, one row for each annotator of an item; other columns are ignored.
 
     items: ``item, value, annotators, agreement, support``: the consensus (the weighted median, so one of the values
     given; of equals the one more annotators gave, then the smaller), how many gave a value, the share of them that gave
@@ -46,7 +46,7 @@ def discover(claims: DataFrame, span: float, rounds: int = 12, settled: float =
     large part of all labels is split over tasks by join_hot; items' labels are summed by value before they are gathered.
     """
     cuts = Cuts(claims.sparkSession)
-    claims = cuts.cut(claims)
+    claims = cuts.cut(claims.select("item", "annotator", "value"))
     total = claims.count()
     weights = cuts.cut(claims.groupBy("annotator").agg(F.count("*").alias("n")).withColumns({"m": F.lit(0).cast("long"), "d": F.lit(0.0), "w": F.lit(1.0)}))
     for _ in range(rounds):
@@ -59,6 +59,7 @@ def discover(claims: DataFrame, span: float, rounds: int = 12, settled: float =
         new = cuts.cut(new.withColumn("w", chi2_lower(F.greatest("m", F.lit(1)).cast("double")) / (F.col("d") + FLOOR)))
         moved = new.select("annotator", F.col("w").alias("now")).join(weights, "annotator").agg(F.max(F.abs(F.col("now") / F.col("w") - 1)).alias("m")).first()["m"]
         weights = new
+        cuts.drop(1, keep=1)
         if moved is None or moved <= settled:
             break
     bound = F.sqrt(F.least(F.lit(1.0), (F.col("d") + FLOOR) / chi2_lower(F.greatest("m", F.lit(1)).cast("double"))))

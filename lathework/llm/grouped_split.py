@@ -48,8 +48,10 @@ def assign_splits(members: DataFrame, shares: tuple[float, ...] = (0.8, 0.1, 0.1
     A component counts in full for the stratum most of its records have (ties: the smaller name; null is a stratum). In
     each stratum components are ordered by hash and laid along a line of their sizes; where a component's middle falls
     decides its split, so that each range is as long as its share. Components above LARGE of a stratum are placed first,
-    largest first, each where most is still missing, and the ranges are those of what is then left.
+    largest first, each where most is still missing, and the ranges are those of what is then left. A split column that
+    is there already is replaced.
     """
+    members = members.drop("split")
     sizes = members.groupBy("component", "stratum").agg(F.count("*").alias("n"))
     whole = sizes.groupBy("component").agg(
         F.sum("n").alias("n"), F.max_by(F.coalesce("stratum", F.lit("")), F.struct("n", F.hash("stratum"))).alias("stratum")

@@ -87,7 +87,7 @@ def mix(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     cuts = Cuts(spark)
     wanted = [{"mix_id": r["mix_id"], "source": r["source"], "share": float(r["share"]), "cap": int(r["cap"])} for r in targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap")).collect()]
     listed = spark.createDataFrame([(t["mix_id"], t["source"]) for t in wanted], "mix_id string, source string")
-    docs = cuts.cut(sizes.where("tokens > 0").join(F.broadcast(listed), "source").select("mix_id", "source", "id", "tokens"))
+    docs = cuts.cut(sizes.select("source", "id", "tokens").where("tokens > 0").join(F.broadcast(listed), "source").select("mix_id", "source", "id", "tokens"))
     counts = cuts.cut(docs.groupBy("mix_id", "source", "tokens").agg(F.count("*").alias("n")))
     have = {(r["mix_id"], r["source"]): r for r in counts.groupBy("mix_id", "source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("tokens")).alias("t")).collect()}
     goals = plan({k: r["t"] for k, r in have.items()}, wanted)

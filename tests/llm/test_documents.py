@@ -57,7 +57,7 @@ def test_packing_is_whole_tight_and_unsplit(spark):
 def test_mixing_meets_shares_within_caps(spark):
     rng = random.Random(11)
     docs = [(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.randrange(0, 900), "x") for i in range(4000)]
-    sizes = spark.createDataFrame(docs, "id long, source string, tokens long, share string")
+    sizes = spark.createDataFrame(docs, "id long, source string, tokens long, mix_id string")
     targets = [("m", "a", 0.5, 2), ("m", "b", 0.4, 5), ("m", "gone", 0.1, 3), ("n", "c", 1.0, 3), ("o", "gone", 1.0, 1)]
     copies, shares = mix(sizes, spark.createDataFrame(targets, "mix_id string, source string, share double, cap int"))
     got = {(r["mix_id"], r["source"]): r for r in shares.collect()}

@@ -62,7 +62,7 @@ def test_splits_keep_related_records_and_meet_shares(spark):
 
 
 def test_splits_of_even_groups_are_near_their_shares(spark):
-    members = spark.range(5000).select(F.col("id").alias("slot"), (F.col("id") / 3).cast("long").alias("component"), F.concat(F.lit("f"), (F.col("id") / 3).cast("long") % 4).alias("stratum"))
+    members = spark.range(5000).select(F.col("id").alias("slot"), (F.col("id") / 3).cast("long").alias("component"), F.concat(F.lit("f"), (F.col("id") / 3).cast("long") % 4).alias("stratum"), F.lit("old").alias("split"), F.lit(1).alias("n"))
     per = defaultdict(lambda: defaultdict(int))
     for r in assign_splits(members).collect():
         per[r["stratum"]][r["split"]] += 1
@@ -87,7 +87,7 @@ def claims(spark, seed=5, items=400):
 
 def test_consensus_beats_the_majority_and_orders_annotators(spark):
     truth, rows = claims(spark)
-    items, annotators = discover(spark.createDataFrame(rows, "item string, annotator string, value double"), 2.0)
+    items, annotators = discover(spark.createDataFrame(rows, "item string, annotator string, value double").withColumn("w", F.lit("clash")), 2.0)
     got = {r["item"]: r for r in items.collect()}
     right = sum(got[i]["value"] == t for i, t in truth.items())
     votes = defaultdict(lambda: defaultdict(int))
