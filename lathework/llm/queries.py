@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.materialize import cut
 from .consensus import discover, latest
 from .cross_split import cross_split_overlaps, overlap_report
 from .grouped_split import assign_splits, related, scenario_words
 from .language import code, identify
 from .mixing import mix, source_name
-from .near_dup import near_duplicates
+from .near_dup import duplicate_groups, near_duplicates
 from .packing import pack, packing_report
 from .pair_defects import pair_defects
 from .sql import P1_FOUND, P3_FOUND, P4_FOUND
@@ -33,6 +34,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(_texts(spark, d))
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's group of near duplicates and its number of links."""
+    texts = _texts(spark, d)
+    return duplicate_groups(texts, cut(near_duplicates(texts)))
+
+
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Train prompts as id, text; evaluation prompts as field, id, text, source."""
     c, k = _read(spark, d, "candidates"), _read(spark, d, "contamination_calibration")
@@ -214,7 +221,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    p1_found, p2_found, p3_found, p3_report, p4_found, p4_splits, p5_found, p5_items, p5_evaluators, p6_found, p6_report,
+    p1_found, p1_groups, p2_found, p3_found, p3_report, p4_found, p4_splits, p5_found, p5_items, p5_evaluators, p6_found, p6_report,
     p7_containers, p7_report, p8_copies, p8_shares, p9_found, p9_documents, p9_segments,
 )
 
