@@ -10,11 +10,28 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Failure labels in their order, the response contract, and the form of a fenced answer.
+# Failure labels in their order, the wording of diagnostics, the response contract, and the form of a fenced answer.
 LABELS = (
     "markdown_fence", "surrounding_text", "duplicate_key", "json_syntax", "wrong_top_level_type", "missing_field", "unexpected_field",
     "wrong_field_type", "ingredient_count", "method_count", "null_value", "blank_string", "non_positive_amount", "generation_failure",
 )
+DETAILS = {
+    "empty": "Output does not contain a JSON value.",
+    "constant": "JSON contains an invalid numeric constant.",
+    "syntax": "JSON syntax error at character {}.",
+    "several": "Output contains multiple complete JSON values.",
+    "markdown_fence": "Output is wrapped in a Markdown code fence.",
+    "surrounding_text": "A complete JSON object or array has non-whitespace text outside it.",
+    "duplicate_key": "Object key occurs more than once.",
+    "wrong_top_level_type": "Expected {} at root; observed {}.",
+    "missing_field": "Required field is missing.",
+    "unexpected_field": "Field is not permitted.",
+    "wrong_field_type": "Expected {}; observed {}.",
+    "count": "Expected {}–{} items; observed {}.",
+    "null_value": "Null is not permitted.",
+    "blank_string": "String must contain a non-whitespace character.",
+    "non_positive_amount": "Amount must be greater than zero.",
+}
 FIELDS = {"title": "string", "ingredients": "array", "method": "array", "garnish": "string"}
 INGREDIENT = {"amount": "number", "unit": "string", "name": "string"}
 COUNTS = {"ingredients": (3, 8, "ingredient_count"), "method": (2, 5, "method_count")}
@@ -48,11 +65,7 @@ class Broken(ValueError):
         self.kind, self.at = kind, at
 
     def detail(self) -> str:
-        if self.kind == "empty":
-            return "Output does not contain a JSON value."
-        if self.kind == "constant":
-            return "JSON contains an invalid numeric constant."
-        return f"JSON syntax error at character {self.at}."
+        return DETAILS[self.kind].format(self.at)
 
 
 def _constant(_name):
@@ -136,28 +149,25 @@ def _diagnose(text: str):
     core = text.strip(_BLANK)
     fence = _FENCE.match(core)
     if fence:
-        body, out = fence.group("body") or "", [("markdown_fence", "", "Output is wrapped in a Markdown code fence.")]
+        body, out = fence.group("body") or "", [("markdown_fence", "", DETAILS["markdown_fence"])]
         try:
             repeated = []
             _plain(_only(body), "", repeated)
             return None, out + _repeats(repeated)
         except Broken as e:
             several, _ = _sequence(body)
-            return None, [*out, ("json_syntax", "", _SEVERAL if several and e.kind == "syntax" else e.detail())]
+            return None, [*out, ("json_syntax", "", DETAILS["several"] if several and e.kind == "syntax" else e.detail())]
     several, repeated = _sequence(text)
     if several:
-        return None, [*_repeats(repeated), ("json_syntax", "", _SEVERAL)]
+        return None, [*_repeats(repeated), ("json_syntax", "", DETAILS["several"])]
     found = _embedded(core)
     if found is not None:
-        return None, [("surrounding_text", "", "A complete JSON object or array has non-whitespace text outside it."), *_repeats(found)]
+        return None, [("surrounding_text", "", DETAILS["surrounding_text"]), *_repeats(found)]
     return None, [("json_syntax", "", first.detail())]
 
 
-_SEVERAL = "Output contains multiple complete JSON values."
-
-
 def _repeats(pointers: list[str]) -> list[tuple[str, str, str]]:
-    return [("duplicate_key", p, "Object key occurs more than once.") for p in pointers]
+    return [("duplicate_key", p, DETAILS["duplicate_key"]) for p in pointers]
 
 
 def _sequence(text: str) -> tuple[bool, list[str]]:
@@ -205,25 +215,23 @@ def _kind(value) -> str:
 def _expect(value, kind: str, path: str, out: list) -> bool:
     """Whether a value is of a kind; if not, why is noted."""
     if value is None:
-        out.append(("null_value", path, "Null is not permitted."))
+        out.append(("null_value", path, DETAILS["null_value"]))
     elif _kind(value) != kind:
-        if path:
-            out.append(("wrong_field_type", path, f"Expected {kind}; observed {_kind(value)}."))
-        else:
-            out.append(("wrong_top_level_type", "", f"Expected {kind} at root; observed {_kind(value)}."))
+        label = "wrong_field_type" if path else "wrong_top_level_type"
+        out.append((label, path, DETAILS[label].format(kind, _kind(value))))
     else:
         return True
     return False
 
 
 def _closed(value: dict, fields: dict, path: str, out: list) -> None:
-    out += [("missing_field", _pointer(path, f), "Required field is missing.") for f in fields if f not in value]
-    out += [("unexpected_field", _pointer(path, f), "Field is not permitted.") for f in value if f not in fields]
+    out += [("missing_field", _pointer(path, f), DETAILS["missing_field"]) for f in fields if f not in value]
+    out += [("unexpected_field", _pointer(path, f), DETAILS["unexpected_field"]) for f in value if f not in fields]
 
 
 def _text(value, path: str, out: list) -> None:
     if _expect(value, "string", path, out) and not value.strip():
-        out.append(("blank_string", path, "String must contain a non-whitespace character."))
+        out.append(("blank_string", path, DETAILS["blank_string"]))
 
 
 def _contract(value) -> list[tuple[str, str, str]]:
@@ -238,7 +246,7 @@ def _contract(value) -> list[tuple[str, str, str]]:
     for f, (lo, hi, label) in COUNTS.items():
         if f in value and _expect(value[f], "array", f"/{f}", out):
             if not lo <= len(value[f]) <= hi:
-                out.append((label, f"/{f}", f"Expected {lo}–{hi} items; observed {len(value[f])}."))
+                out.append((label, f"/{f}", DETAILS["count"].format(lo, hi, len(value[f]))))
             for i, x in enumerate(value[f]):
                 (_text if f == "method" else _ingredient)(x, f"/{f}/{i}", out)
     return out
@@ -252,7 +260,7 @@ def _ingredient(value, path: str, out: list) -> None:
         if f in value:
             _text(value[f], f"{path}/{f}", out)
     if "amount" in value and _expect(value["amount"], "number", f"{path}/amount", out) and not value["amount"].positive():
-        out.append(("non_positive_amount", f"{path}/amount", "Amount must be greater than zero."))
+        out.append(("non_positive_amount", f"{path}/amount", DETAILS["non_positive_amount"]))
 
 
 def check(text: str) -> dict:
