@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.render import packet_name, rendered
 from ..functions.strictjson import checked_response
 from ..operators import contracts as C
 from ..operators.evaluation import structural_summary
@@ -194,3 +195,18 @@ def ledger_chain(spark, d):
     """A hash chain over the slots of every batch of the production matrix."""
     slots = read(spark, d, "production_matrix").where("slot_id is not null and batch_id is not null").groupBy("batch_id", "slot_id").agg(F.min("example_id").alias("content"))
     return C.ledger(slots, "batch_id", "slot_id", "content")
+
+
+@query()
+def rendered_packets(spark, d):
+    """Digests of every response's reading form and similarity view."""
+    p = read(spark, d, "packets").where("candidate_response is not null").select("blind_id", "candidate_response").distinct()
+    r = p.select("blind_id", rendered("candidate_response").alias("r"))
+    return r.select("blind_id", F.sha2("r.reading", 256).alias("reading_sha256"), F.sha2("r.view", 256).alias("view_sha256"))
+
+
+@query("select blind_id, prompt_id, 'qual-packet-v1-' || left(sha256(concat_ws('|', 'qualitative-packet-v1', system_id, prompt_id, blind_id)), 24) as packet_id from (select distinct blind_id, prompt_id, system_id from identity_mapping where system_id is not null and prompt_id is not null)")
+def packet_names(spark, d):
+    """Names of judgment packets, from system, prompt and response."""
+    m = read(spark, d, "identity_mapping").where("system_id is not null and prompt_id is not null").select("blind_id", "prompt_id", "system_id").distinct()
+    return m.select("blind_id", "prompt_id", packet_name("qual-packet-v1", "qualitative-packet-v1", F.col("system_id"), F.col("prompt_id"), F.col("blind_id")).alias("packet_id"))
