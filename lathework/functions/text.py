@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -49,6 +49,12 @@ def shingles(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def phrases(df: DataFrame, keys: list[str], text: str, n: int, name: str = "phrase") -> DataFrame:
+    """The distinct n-word phrases of each row's keys. Words are cut once for each text, before phrases are formed."""
+    worded = df.select(*keys, spoken_tokens(F.col(text)).alias("__w"))
+    return worded.select(*keys, F.explode(shingles(F.col("__w"), n)).alias(name)).distinct()
+
+
 def opening(tokens: Column, n: int) -> Column:
     """The first n tokens joined by blanks; null for shorter lists."""
     return F.when(F.size(tokens) >= n, F.array_join(F.slice(tokens, 1, n), " "))
@@ -60,9 +66,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def matches_of(text: Column, patterns: list[str]) -> Column:
-    """Sorted distinct matches of any of the patterns in the normalised text."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(normalize(text), F.lit(p), F.lit(0)) for p in patterns]))
+def matches_of(normal: Column, patterns: list[str]) -> Column:
+    """Sorted distinct matches of any of the patterns in a text, given in normal form in a column of its own."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(normal, F.lit(p), F.lit(0)) for p in patterns]))
     return F.array_sort(F.array_distinct(found))
 
 

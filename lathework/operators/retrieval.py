@@ -32,8 +32,8 @@ def jaccard_neighbours(queries: DataFrame, corpus: DataFrame, tokens: Column, k:
     queries: qid, text; corpus: id, text. Texts meet on their tokens by an equi-join, summed before the second shuffle;
     pairs without a common token don't arise.
     """
-    q = queries.select("qid", tokens.alias("t")).withColumn("qn", F.size("t"))
-    c = corpus.select("id", tokens.alias("t")).withColumn("cn", F.size("t"))
+    q = queries.select("qid", tokens.alias("t")).select("qid", "t", F.size("t").alias("qn"))
+    c = corpus.select("id", tokens.alias("t")).select("id", "t", F.size("t").alias("cn"))
     met = q.select("qid", "qn", F.explode("t").alias("token")).join(c.select("id", "cn", F.explode("t").alias("token")), "token")
     shared = met.groupBy("qid", "id").agg(F.count("*").alias("shared"), F.first("qn").alias("qn"), F.first("cn").alias("cn"))
     scored = shared.select("qid", "id", "shared", F.round(F.col("shared") / (F.col("qn") + F.col("cn") - F.col("shared")), digits).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, shingles, spoken_tokens, word_tokens
+from ..functions.text import normalize, phrases, word_tokens
 from ..operators import retrieval as R
 from . import norm_sql, query, read
 
@@ -69,9 +69,8 @@ _SHINGLES = f"regexp_extract_all({norm_sql('x')}, '[a-z0-9]+(?:''[a-z0-9]+)?')"
 )
 def eight_gram_overlap(spark, d):
     """How many eight-word phrases of each calibration prompt occur in candidate prompts."""
-    grams = lambda df, *keys: df.select(*keys, F.explode(shingles(spoken_tokens(F.col("text")), 8)).alias("s")).distinct()
-    asked = grams(_cases(spark, d), "qid")
-    return asked.join(grams(_prompts(spark, d)), "s", "left_semi").groupBy(F.col("qid").alias("case_id")).agg(F.count("*").alias("shared"))
+    asked = phrases(_cases(spark, d), ["qid"], "text", 8, "s")
+    return asked.join(phrases(_prompts(spark, d), [], "text", 8, "s"), "s", "left_semi").groupBy(F.col("qid").alias("case_id")).agg(F.count("*").alias("shared"))
 
 
 _FIELDS = {"topic": "metadata.topic", "goal": "metadata.user_goal", "artefact": "metadata.requested_task_or_artefact", "summary": "metadata.scenario_summary"}
@@ -111,8 +110,8 @@ def semantic_top5(spark, d):
 def merged_signals(spark, d):
     """Calibration prompts and candidate prompts that are equal or share a twelve-word phrase, with all signals."""
     q, c = _cases(spark, d), _prompts(spark, d)
-    grams = lambda df, key: df.select(key, F.explode(shingles(spoken_tokens(F.col("text")), 12)).alias("s")).distinct()
-    return R.merge_signals({"exact": R.exact_matches(q, c), "phrase": grams(q, "qid").join(grams(c, "id"), "s").select("qid", "id").distinct()})
+    shared = phrases(q, ["qid"], "text", 12, "s").join(phrases(c, ["id"], "text", 12, "s"), "s")
+    return R.merge_signals({"exact": R.exact_matches(q, c), "phrase": shared.select("qid", "id").distinct()})
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import digest, exact_normalize, jaccard, matches_of, normalize, opening, shingles, spoken_tokens, word_tokens
+from ..functions.text import digest, exact_normalize, jaccard, matches_of, normalize, opening, phrases, spoken_tokens, word_tokens
 from . import norm_sql, query, read
 
 #: Text that composition can't change and whose folding is plain lower case but for ß.
@@ -41,8 +41,7 @@ _SPOKEN = f"regexp_extract_all({norm_sql('x')}, '[a-z0-9]+(?:''[a-z0-9]+)?')"
 def repeated_phrases(spark, d):
     """The 30 eight-word phrases that most examples' method steps share: a report."""
     steps = read(spark, d, "candidates").select("example_id", F.explode("assistant_response.method").alias("x")).distinct()
-    phrases = steps.select("example_id", F.explode(shingles(spoken_tokens(F.col("x")), 8)).alias("phrase")).distinct()
-    return phrases.groupBy("phrase").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "phrase").limit(30)
+    return phrases(steps, ["example_id"], "x", 8).groupBy("phrase").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "phrase").limit(30)
 
 
 @query(
@@ -51,7 +50,7 @@ def repeated_phrases(spark, d):
 )
 def repeated_openings(spark, d):
     """Four-word openings that at least three prompts share."""
-    prompts = read(spark, d, "candidates").where("user_prompt is not null").select("example_id", opening(spoken_tokens(F.col("user_prompt")), 4).alias("opening")).where("opening is not null").distinct()
+    prompts = read(spark, d, "candidates").where("user_prompt is not null").select("example_id", spoken_tokens(F.col("user_prompt")).alias("w")).select("example_id", opening(F.col("w"), 4).alias("opening")).where("opening is not null").distinct()
     return prompts.groupBy("opening").agg(F.count("*").alias("n")).where("n >= 3")
 
 
@@ -82,7 +81,7 @@ LEXICON = [r"\bdata migration\b", r"\btax return\b", r"\blanguage exams?\b", r"\
 )
 def withheld_terms(spark, d):
     """Documents with expressions of the lexicon, and which."""
-    docs = read(spark, d, "documents").where("text is not null").select("doc_id", matches_of(F.col("text"), LEXICON).alias("m"))
+    docs = read(spark, d, "documents").where("text is not null").select("doc_id", normalize(F.col("text")).alias("t")).select("doc_id", matches_of(F.col("t"), LEXICON).alias("m"))
     return docs.where(F.size("m") > 0).select("doc_id", F.array_join("m", ",").alias("terms"), F.size("m").cast("long").alias("n"))
 
 
