@@ -1,4 +1,4 @@
-"""Rows of the document by word n-gram incidence matrix, and the columns of it that can tell documents apart."""
+"""Rare words of documents: the columns of the document by word incidence matrix that pairs must share, and anchors."""
 
 from __future__ import annotations
 
@@ -14,6 +14,27 @@ def slots(w: Words) -> np.ndarray:
     return (w.hashes & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
+def occurrence_slots(w: Words) -> np.ndarray:
+    """Sketch slots of all occurrences, so that the sketch counts texts."""
+    return (w.occurrences()[1] & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def prefixes(w: Words, count: np.ndarray, threshold: float):
+    """(document, column, count) of each document's rarest n - ceil(threshold * n) + 1 word occurrences.
+
+    Two texts whose overlap reaches the threshold share at least threshold * n of either's n words. So of their common
+    occurrences the rarest, in one order for all texts (by ``count``, the sketch of occurrences, then by hash), is among
+    these of both.
+    """
+    doc, h = w.occurrences()
+    seen = count[occurrence_slots(w)]
+    order = np.lexsort((h, seen, doc))
+    doc, h, seen = doc[order], h[order], seen[order]
+    n = w.sizes()[doc]
+    keep = _rank(doc) < n - np.ceil(threshold * n - 1e-9) + 1
+    return doc[keep], h[keep], seen[keep]
+
+
 def distinctive(w: Words, count: np.ndarray, bits: float, at_least: int, anchors: int):
     """(document, gram) of the n-grams that begin or end at each document's ``anchors`` rarest words.
 

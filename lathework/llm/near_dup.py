@@ -1,11 +1,12 @@
-"""Near-duplicate records by a blocked sparse product of the document by n-gram incidence matrix.
-
-The product is A Aᵀ with a row for each document and a column for each n-gram. Only the columns that tell documents
-apart take part: n-grams that begin or end at a document's rarest words, long enough that chance makes few coincide
-(grams.distinctive). The product runs column by column; a column with more than ``block`` documents is split into
-blocks, and all pairs of blocks are multiplied, each in a task of its own. Whatever two documents have in common, their
-sizes and word outlines bound their overlap from above; pairs below the bound are discarded where they arise, the rest
-are compared word by word.
+"""Near-duplicate records by a blocked product of the document by word incidence matrix.
+
+The product is A Aᵀ with a row for each document and a column for each occurrence of a word (its first, its second, ...).
+Any two documents whose overlap reaches the threshold share a column among the rarest of both (grams.prefixes), so no
+other columns take part. The product runs column by column where columns hold at most ``block`` documents. Documents
+with a larger column among their rarest are multiplied with each other as a whole, in blocks of like sizes, each pair of
+blocks a task of its own: the columns most documents have are multiplied, and the words outside them bound what they can
+add. Whatever two documents have in common, their sizes and word outlines bound their overlap from above; pairs below
+the bound are discarded where they arise, the rest are compared word by word.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ from pyspark.sql import functions as F
 from ..plans.materialize import cut
 from ..plans.sketch import sketch_filter
 from .components import components
-from .grams import SKETCH, distinctive, slots
+from .grams import SKETCH, occurrence_slots, prefixes, slots
 from .text import BUCKETS, Words, bag_overlap, may_overlap, mix, outlines, words
 
 #: Texts hashed together: bounds a worker's memory to a few times their bytes.
 CHUNK_BYTES = 4 << 20
+#: Columns multiplied in the dense product, each a byte; documents in one of its blocks, and of them at a time; steps of
+#: size from one block to those still compared with it.
+DENSE, DENSE_ROWS, TILE, STEPS = 256, 8192, 1024, 4
 
 
 def chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list]]:
@@ -40,8 +44,8 @@ def chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list]]:
             at, size = k + 1, 0
 
 
-def word_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch of word counts over all rows of ``texts`` (one column), and the number of rows.
+def word_counts(texts: DataFrame, slots=slots) -> tuple[np.ndarray, int]:
+    """The sketch of word counts (or of what ``slots`` gives) over all rows of ``texts`` (one column), and the number of rows.
 
     SKETCH counters come to the driver, whatever the rows.
     """
@@ -67,9 +71,6 @@ def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.7,
     min_words: int = 50,
-    at_least: int = 5,
-    anchors: int = 10,
-    bits: float = 4.5,
     block: int = 512,
     expand_copies: int = 32,
 ) -> DataFrame:
@@ -84,16 +85,19 @@ def near_duplicates(
     other and with those of the classes near it; each further copy is paired with the first of its class, through which
     all its other pairs follow. So a group of copies never becomes the square of its size.
 
-    at_least, anchors, bits: see grams.distinctive; bits counts in log2 of the number of documents.
+    The result is complete. ``block`` only says from which size on a column counts as large.
     """
     spark = docs.sparkSession
     docs = docs.select("collection", "id", "text").where("text is not null and id is not null and collection is not null")
-    sketch, n_docs = word_counts(docs.select("text"))
+    sketch, n_docs = word_counts(docs.select("text"), occurrence_slots)
     if not n_docs:
         return spark.createDataFrame([], "collection string, id_a string, id_b string")
-    need = bits * float(np.log2(max(n_docs, 2)))
-    # float32 counts: 4 MB of fixed size
-    shared = spark.sparkContext.broadcast(sketch.astype(np.float32))
+    common = np.argsort(-sketch, kind="stable")[:DENSE]
+    place = np.full(SKETCH, -1, np.int16)
+    place[common] = np.arange(DENSE)
+    step = -np.log(threshold * (1 - 1e-9)) / STEPS
+    # 6 MB of fixed size
+    shared = spark.sparkContext.broadcast((sketch.astype(np.float32), place))
 
     def features(batches):
         for batch in batches:
@@ -101,25 +105,35 @@ def near_duplicates(
             for who, texts in chunks(list(zip(cols["collection"], cols["id"])), cols["text"]):
                 w = Words(texts)
                 n = w.sizes()
-                doc, gram = distinctive(w, shared.value, need, at_least, anchors)
+                count, at = shared.value
+                doc, gram, seen = prefixes(w, count, threshold)
                 salt = np.fromiter((hash_text(c) for c, _ in who), np.uint64, len(who))
                 key = mix(w.bags() + salt).view(np.int64)
+                large = np.bincount(doc[seen > block], minlength=len(who)) > 0
+                doc, gram = doc[seen <= block], gram[seen <= block]
                 gram = mix(gram + salt[doc]).view(np.int64)
-                order = np.argsort(doc, kind="stable")
-                offsets = np.searchsorted(doc[order], np.arange(len(who) + 1))
                 keep = np.flatnonzero(n >= min_words)
-                grams = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(gram[order]))
+                grams = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(who) + 1)), pa.int32()), pa.array(gram))
+                column, held = at[occurrence_slots(w)], w.occurrences()[0]
+                column, held = column[column >= 0].astype(np.uint8), held[column >= 0]
+                ends = np.searchsorted(held, np.arange(len(who) + 1)).astype(np.int32)
+                columns = pa.BinaryArray.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(column.tobytes())])
+                level = pa.array(np.floor(np.log(np.maximum(n, 1)) / step).astype(np.int32))
                 outline = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BUCKETS), len(who), [None, pa.py_buffer(outlines(w).tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _ in who]), pa.array([i for _, i in who]), pa.array(key), pa.array(n.astype(np.int32)), outline, grams],
-                    ["collection", "id", "key", "n", "outline", "grams"],
+                    [pa.array([c for c, _ in who]), pa.array([i for _, i in who]), pa.array(key), pa.array(n.astype(np.int32)), outline, grams, pa.array(large), level, columns],
+                    ["collection", "id", "key", "n", "outline", "grams", "large", "level", "columns"],
                 ).take(pa.array(keep))
 
-    rows = docs.mapInArrow(features, "collection string, id string, key long, n int, outline binary, grams array<long>").persist(StorageLevel.MEMORY_AND_DISK)
-    one = rows.select("key", "n", "outline", "grams").dropDuplicates(["key"])
-    entries = one.select("key", F.explode(F.array_distinct("grams")).alias("gram"))
+    schema = "collection string, id string, key long, n int, outline binary, grams array<long>, large boolean, level int, columns binary"
+    rows = docs.mapInArrow(features, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    one = rows.drop("id").dropDuplicates(["key"])
+    entries = one.select("key", "large", F.explode("grams").alias("gram"))
+    # pairs of two documents with large columns are the dense product's
+    entries = sketch_filter(entries, F.col("gram"), entries.where("not large"), F.col("gram")).select("key", "gram")
     column = entries.withColumn("size", F.count("*").over(Window.partitionBy("gram"))).where("size > 1")
-    pairs = cut(product(column.join(one.select("key", "n", "outline"), "key"), threshold, block))
+    sparse = product(column.join(one.select("key", "n", "outline"), "key"), threshold, block)
+    pairs = cut(sparse.unionByName(dense_product(one.where("large"), threshold)).distinct())
     near = cut(compare(pairs, rows, docs, threshold))
     return expand(near, rows.select("collection", "id", "key"), expand_copies)
 
@@ -177,6 +191,57 @@ def product(column: DataFrame, threshold: float, block: int) -> DataFrame:
     return placed.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(multiply, "a long, b long").distinct()
 
 
+def dense_product(docs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of keys within a collection that the bounds leave, of all pairs. docs: collection, key, n, outline, level, columns."""
+    docs = docs.select("collection", "level", "key", "n", "outline", "columns")
+    sizes = docs.groupBy("collection", "level").agg(F.ceil(F.count("*") / DENSE_ROWS).cast("int").alias("blocks"))
+    other = sizes.select("collection", F.col("level").alias("l"), F.col("blocks").alias("b"))
+    near = sizes.join(other, "collection").where(F.abs(F.col("level") - F.col("l")) <= STEPS)
+    number = lambda level, block: F.shiftleft(level.cast("long"), 32) + block
+    near = near.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda k: number(F.col("l"), k))))
+    near = near.groupBy("collection", "level", "blocks").agg(F.collect_list("other").alias("others"))
+    own = number(F.col("level"), F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")))
+    placed = docs.join(near, ["collection", "level"]).withColumn("own", own).withColumn("other", F.explode("others"))
+    placed = placed.select("collection", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "n", "outline", "columns")
+    share = threshold / (1 + threshold)
+
+    def matrix(columns):
+        size = np.fromiter(map(len, columns), np.int64, len(columns))
+        at = np.repeat(np.arange(len(columns)), size) * DENSE + np.frombuffer(b"".join(columns), np.uint8)
+        return np.bincount(at, minlength=len(columns) * DENSE).reshape(-1, DENSE).astype(np.float32), size
+
+    def multiply(cell: pa.Table) -> pa.Table:
+        lo, hi, own, key, n = (cell.column(c).to_numpy() for c in ("lo", "hi", "own", "key", "n"))
+        n = n.astype(np.int64)
+        outline = np.frombuffer(b"".join(cell.column("outline").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        m, size = matrix(cell.column("columns").to_pylist())
+        rest = n - size
+        # two more columns, so that the product is the shared words, plus a's others, less the words needed
+        left = np.column_stack([m, rest - share * n, np.ones(len(n))]).astype(np.float32)
+        right = np.column_stack([m, np.ones(len(n)), -share * n]).astype(np.float32)
+        first, second = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        slack = 1 + 1e-5 * float(n.max())
+        out = []
+        for k in range(0, len(first), TILE):
+            for l in range(k if lo[0] == hi[0] else 0, len(second), TILE):
+                a, b = first[k : k + TILE], second[l : l + TILE]
+                x, y = np.divmod(np.flatnonzero((left[a] @ right[b].T) >= -slack), len(b))
+                x, y = a[x], b[y]
+                if lo[0] == hi[0]:
+                    x, y = x[x < y], y[x < y]
+                for at in range(0, len(x), 1 << 16):
+                    i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                    # the same bound by the other words of either
+                    ok = (m[i] * m[j]).sum(axis=1) + np.minimum(rest[i], rest[j]) >= share * (n[i] + n[j]) - slack
+                    i, j = i[ok], j[ok]
+                    ok = may_overlap(outline[i], n[i], outline[j], n[j], threshold)
+                    out.append(np.stack([np.minimum(key[i[ok]], key[j[ok]]), np.maximum(key[i[ok]], key[j[ok]])]))
+        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return placed.groupBy("collection", "lo", "hi").applyInArrow(multiply, "a long, b long")
+
+
 def compare(pairs: DataFrame, rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs of keys whose texts have the overlap, compared word by word."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))

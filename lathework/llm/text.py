@@ -85,6 +85,7 @@ class Words:
         bound = np.concatenate([[0], np.cumsum(sizes)])
         self.start = np.searchsorted(begin, bound)
         self.doc = np.repeat(np.arange(len(raw)), np.diff(self.start))
+        self._occurrences = None
 
     def word(self, k: int) -> bytes:
         """The k-th word's letters in lower case."""
@@ -95,12 +96,15 @@ class Words:
 
     def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
         """(document, hash) of the n-th occurrence of each word, sorted: a bag as a set."""
+        if self._occurrences is not None:
+            return self._occurrences
         order = np.lexsort((self.hashes, self.doc))
         doc, h = self.doc[order], self.hashes[order]
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
         at = np.arange(len(h))
         nth = at - np.maximum.accumulate(np.where(new, at, 0)) if len(h) else at
-        return doc, mix(h + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self._occurrences = doc, mix(h + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return self._occurrences
 
     def bags(self) -> np.ndarray:
         """A hash of each text's bag of words, whatever their order."""

@@ -67,6 +67,35 @@ def test_a_hot_column_is_split_into_blocks_without_losing_pairs(spark):
     assert got == brute(rows, 0.7, 50) and len(got) == 30
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_pairs_without_a_common_gram_are_found(spark, block):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for g in range(30):
+        base = [rng.choice(vocabulary) for _ in range(70)]
+        for k in range(3):
+            edited = list(base)
+            for at in rng.sample(range(70), rng.choice([4, 8, 11])):
+                edited[at] = rng.choice(vocabulary)
+            # no order of words is shared
+            rng.shuffle(edited)
+            rows.append((rng.choice("cp"), f"id{g}-{k}", " ".join(edited), ""))
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), block=block).collect()}
+    assert got == brute(rows, 0.7, 50) and len(got) > 10
+
+
+def test_dense_product_finds_all_pairs_between_and_within_its_blocks(spark, monkeypatch):
+    from lathework.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "DENSE_ROWS", 20)
+    monkeypatch.setattr(near_dup, "TILE", 8)
+    rows = [("c", f"k{k:03d}", " ".join(f"v{j}" for j in range(60 + k % 12)), "") for k in range(100)]
+    rows = [(c, i, t + f" own{i}", x) for c, i, t, x in rows]
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), block=8).collect()}
+    assert got == brute(rows, 0.7, 50) and len(got) == 100 * 99 // 2
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert near_duplicates(spark.createDataFrame([("c", "a", None, ""), ("c", "b", "short", "")], SCHEMA)).count() == 0
