@@ -3,9 +3,9 @@
 The array holds, of each text, the suffixes that begin at its rarest words and shortly before them, each by its first
 ``depth`` words. It is partitioned by the hash of its first ``at_least`` words, so that suffixes with a common prefix of
 that length meet in one task, sorted; there the common prefix of any two is the least of those of the neighbours between
-them. Prefixes that more than ``block`` suffixes share say little and are split by more of their words; where all
-``depth`` words agree, any number stay together, in blocks. Shared spans of an evaluation and a training text are merged
-into the words they cover, and pairs that the words' numbers leave possible are compared word by word.
+them. Prefixes that more than ``block`` suffixes share are split into blocks, each pair of blocks a task of its own, and
+pairs that the texts' outlines rule out are dropped where they meet. Shared spans of an evaluation and a training text
+are merged into the words they cover, and pairs that the words' numbers leave possible are compared word by word.
 """
 
 from __future__ import annotations
@@ -85,17 +85,9 @@ def cross_split_overlaps(
     one = rows.groupBy("key").agg(
         F.bool_or("is_train").alias("t"), F.bool_or(~F.col("is_train")).alias("e"), F.first("n").alias("n"), F.first("outline").alias("outline"), F.first("suffixes").alias("suffixes")
     )
-    entry = one.select("key", "t", "e", F.explode("suffixes").alias("s")).select("key", "t", "e", "s.*").withColumn("cell", F.col("head"))
-    met = None
-    for words_more in (3, depth - at_least, 0):
-        w = Window.partitionBy("cell")
-        entry = entry.withColumns({"size": F.count("*").over(w), "et": F.bool_or("t").over(w) & F.bool_or("e").over(w)}).where("et and size > 1").drop("et")
-        if words_more:
-            entry = cut(entry)
-        done = entry if not words_more else entry.where(F.col("size") <= block)
-        met = done if met is None else met.unionByName(done)
-        if words_more:
-            entry = entry.where(F.col("size") > block).drop("size").withColumn("cell", F.xxhash64("cell", F.substring("tail", 1, 4 * words_more)))
+    entry = one.select("key", "t", "e", F.explode("suffixes").alias("s")).select("key", "t", "e", "s.*").withColumnRenamed("head", "cell")
+    w = Window.partitionBy("cell")
+    met = entry.withColumns({"size": F.count("*").over(w), "et": F.bool_or("t").over(w) & F.bool_or("e").over(w)}).where("et and size > 1").drop("et")
     spans = adjacent(met.join(one.select("key", "n", "outline"), "key"), threshold, at_least, block)
     covered = spans.groupBy("e", "t").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + span - 1)"))))).alias("covered"))
     near = cut(compare(cut(covered), rows, docs, threshold))
@@ -147,7 +139,7 @@ def adjacent(met: DataFrame, threshold: float, at_least: int, block: int) -> Dat
             if not len(live):
                 break
             common = prefix[live + d - 1] if common is None else np.minimum(common, prefix[live + d - 1])
-            pick = (key[live] != key[live + d]) & ((lo[live] == hi[live]) | (own[live] != own[live + d]))
+            pick = (e[live] & t[live + d] | t[live] & e[live + d]) & (key[live] != key[live + d]) & ((lo[live] == hi[live]) | (own[live] != own[live + d]))
             i, span = live[pick], common[pick]
             ok = may_overlap(outline[i], n[i], outline[i + d], n[i + d], threshold)
             i, span = i[ok], span[ok]

@@ -117,6 +117,22 @@ def test_cross_split_overlaps_equal_brute_force(spark):
     assert got == expected and len(got) > 5
 
 
+def test_a_prefix_that_many_suffixes_share_counts_as_much_as_any(spark):
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(33)]
+    variants = []
+    for k in range(60):
+        edited = list(base)
+        for at in rng.sample(range(33), 3):
+            edited[at] = f"r{rng.randrange(40)}"
+        variants.append((f"v{k}", " ".join(edited)))
+    train = spark.createDataFrame(variants[:30], "id string, text string")
+    evaluation = spark.createDataFrame([("f", i, t) for i, t in variants[30:]], "field string, id string, text string")
+    found = lambda block: {tuple(r)[:3] for r in cross_split_overlaps(train, evaluation, block=block).collect()}
+    few, all_ = found(4), found(10_000)
+    assert few == all_ and len(all_) > 50
+
+
 def test_overlap_report_counts_records_and_pairs(spark):
     train = spark.createDataFrame([("a", "one two three four five six seven"), ("b", "one two three four five six seven")], "id string, text string")
     evaluation = spark.createDataFrame([("v", "e", "one two three four five six seven", "s"), ("v", "f", "nothing of the kind at all", None)], "field string, id string, text string, source string")
