@@ -88,6 +88,21 @@ def resample_by_hash(n: int, draws: int, seed: int, draw: Column, slot: Column)
     return F.pmod(bits, F.lit(n)).cast("int")
 
 
+def bootstrap_means(values: DataFrame, id_: str, value: str, draws: int, seed: int) -> DataFrame:
+    """``draw, mean``: means of ``draws`` resamples, each of as many rows as values has, drawn by digests.
+
+    values: one row for each ``id_``. Rows are numbered in the order of the digest of ``id_``; slots find them by a join,
+    so that only the number of rows comes to the driver.
+    """
+    n = values.count()
+    if not n:
+        return values.sparkSession.createDataFrame([], "draw long, mean double")
+    ranked = hash_rank(values, F.sha2(F.col(id_).cast("string"), 256), id_).select("position", F.col(value).alias("__y"))
+    slots = values.sparkSession.range(draws * n).select(F.expr(f"id div {n}").alias("draw"), F.expr(f"id % {n}").alias("__s"))
+    drawn = slots.select("draw", (resample_by_hash(n, draws, seed, F.col("draw"), F.col("__s")) + 1).cast("long").alias("position"))
+    return drawn.join(ranked, "position").groupBy("draw").agg(F.round(F.avg("__y"), 6).alias("mean"))
+
+
 def bootstrap_indices(n: int, draws: int, seed: int) -> np.ndarray:
     """draws by n row numbers from the standard generator, the same for all measures of one n and seed."""
     rng = random.Random(seed)

@@ -130,6 +130,14 @@ def paired_bootstrap_hash(spark, d):
     return drawn.groupBy("draw").agg(F.round(F.avg("y"), 6).alias("mean"))
 
 
+@query()
+def paired_bootstrap_cases(spark, d):
+    """Two hundred resampled means over all cases, numbered and drawn by digests."""
+    cases = read(spark, d, "contamination_calibration").where("candidate_prompt is not null and case_id is not null")
+    v = cases.groupBy("case_id").agg(F.max(F.length("candidate_prompt")).cast("double").alias("y"))
+    return S.bootstrap_means(v, "case_id", "y", _DRAWS, 20260715)
+
+
 @query(
     """with s as (select l_suppkey as supplier, count(*) as lines, round(avg(l_discount), 6) as discount, round(avg(l_tax), 6) as tax, count(*) filter (where l_returnflag = 'R') as returned from lineitem group by 1)
     select supplier, lines, discount, tax, returned from s where lines >= 10 and returned < lines order by lines desc, returned, discount desc, tax, supplier limit 10"""

@@ -217,3 +217,18 @@ def test_hooks_run_once_for_each_text(spark):
 def test_digests_do_not_depend_on_partitions(spark):
     lines = spark.range(100).select(F.col("id"), F.concat(F.lit("x"), "id").alias("line"))
     assert C.collection_digest(lines, "id", "line", 10).first() == C.collection_digest(lines.repartition(7), "id", "line", 10).first()
+
+
+def test_bootstrap_of_cases_resamples_every_case(spark, tmp_path):
+    import hashlib
+
+    from lathework.queries import evaluation
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    cases = {f"cal-{k:09d}": "x" * (k * k) for k in range(1, 61)}
+    rows = [*cases.items(), ("cal-000000003", "x"), ("cal-000000099", None), (None, "y" * 9999)]
+    spark.createDataFrame(rows, "case_id string, candidate_prompt string").write.parquet(f"{tmp_path}/contamination_calibration.parquet")
+    got = {r["draw"]: r["mean"] for r in evaluation.paired_bootstrap_cases(spark, str(tmp_path)).collect()}
+    lengths = [len(cases[c]) for c in sorted(cases, key=sha)]
+    expected = {d: sum(lengths[int(sha(f"20260715|{d}|{s}")[:15], 16) % 60] for s in range(60)) / 60 for d in range(200)}
+    assert got.keys() == expected.keys() and all(abs(got[d] - expected[d]) < 1e-5 for d in got)
