@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from .text import BUCKETS, Words, bag_overlap, may_overlap, mix, outlines, words
 CHUNK_BYTES = 4 << 20
 #: Columns multiplied in the dense product, each a byte; documents in one of its blocks, and of them at a time; steps of
 #: size from one block to those still compared with it.
-DENSE, DENSE_ROWS, TILE, STEPS = 256, 8192, 1024, 4
+DENSE, DENSE_ROWS, TILE, STEPS = 256, 12288, 1024, 4
 
 
 def chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list]]:
@@ -81,17 +82,25 @@ def near_duplicates(
     occurs. Texts under ``min_words`` words, null texts and null ids take no part; repeated rows count once; one id with
     two texts is compared by both, and never paired with itself. An empty input gives no pairs.
 
-    Records with the same bag of words form a class. The first ``expand_copies`` of a class, by id, are paired with each
-    other and with those of the classes near it; each further copy is paired with the first of its class, through which
-    all its other pairs follow. So a group of copies never becomes the square of its size.
+    The first ``expand_copies`` records of one text, by id, are paired with each other and with those of all texts near
+    it; each further copy is paired with the first of its text, through which all its other pairs follow. So a group of
+    copies never becomes the square of its size; links between different texts are all given.
 
     The result is complete. ``block`` only says from which size on a column counts as large.
     """
+    return expand(*near_classes(docs, threshold, min_words, block), expand_copies)
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.7, min_words: int = 50, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Near classes ``a, b`` of near_duplicates, and their members ``collection, id, key, exact``.
+
+    A class, by ``key``, are the records with the same bag of words; ``exact`` is a hash of the text itself.
+    """
     spark = docs.sparkSession
     docs = docs.select("collection", "id", "text").where("text is not null and id is not null and collection is not null")
     sketch, n_docs = word_counts(docs.select("text"), occurrence_slots)
     if not n_docs:
-        return spark.createDataFrame([], "collection string, id_a string, id_b string")
+        return spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "collection string, id string, key long, exact long")
     common = np.argsort(-sketch, kind="stable")[:DENSE]
     place = np.full(SKETCH, -1, np.int16)
     place[common] = np.arange(DENSE)
@@ -118,24 +127,24 @@ def near_duplicates(
                 column, held = column[column >= 0].astype(np.uint8), held[column >= 0]
                 ends = np.searchsorted(held, np.arange(len(who) + 1)).astype(np.int32)
                 columns = pa.BinaryArray.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(column.tobytes())])
+                exact = pa.array(np.frombuffer(b"".join(blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in texts), np.int64))
                 level = pa.array(np.floor(np.log(np.maximum(n, 1)) / step).astype(np.int32))
                 outline = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BUCKETS), len(who), [None, pa.py_buffer(outlines(w).tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _ in who]), pa.array([i for _, i in who]), pa.array(key), pa.array(n.astype(np.int32)), outline, grams, pa.array(large), level, columns],
-                    ["collection", "id", "key", "n", "outline", "grams", "large", "level", "columns"],
+                    [pa.array([c for c, _ in who]), pa.array([i for _, i in who]), pa.array(key), pa.array(n.astype(np.int32)), outline, grams, pa.array(large), level, columns, exact],
+                    ["collection", "id", "key", "n", "outline", "grams", "large", "level", "columns", "exact"],
                 ).take(pa.array(keep))
 
-    schema = "collection string, id string, key long, n int, outline binary, grams array<long>, large boolean, level int, columns binary"
+    schema = "collection string, id string, key long, n int, outline binary, grams array<long>, large boolean, level int, columns binary, exact long"
     rows = docs.mapInArrow(features, schema).persist(StorageLevel.MEMORY_AND_DISK)
-    one = rows.drop("id").dropDuplicates(["key"])
+    one = rows.drop("id", "exact").dropDuplicates(["key"])
     entries = one.select("key", "large", F.explode("grams").alias("gram"))
     # pairs of two documents with large columns are the dense product's
     entries = sketch_filter(entries, F.col("gram"), entries.where("not large"), F.col("gram")).select("key", "gram")
     column = entries.withColumn("size", F.count("*").over(Window.partitionBy("gram"))).where("size > 1")
     sparse = product(column.join(one.select("key", "n", "outline"), "key"), threshold, block)
     pairs = cut(sparse.unionByName(dense_product(one.where("large"), threshold)).distinct())
-    near = cut(compare(pairs, rows, docs, threshold))
-    return expand(near, rows.select("collection", "id", "key"), expand_copies)
+    return cut(compare(pairs, rows, docs, threshold)), rows.select("collection", "id", "key", "exact")
 
 
 def hash_text(text: str) -> int:
@@ -225,15 +234,17 @@ def dense_product(docs: DataFrame, threshold: float) -> DataFrame:
         for k in range(0, len(first), TILE):
             for l in range(k if lo[0] == hi[0] else 0, len(second), TILE):
                 a, b = first[k : k + TILE], second[l : l + TILE]
-                x, y = np.divmod(np.flatnonzero((left[a] @ right[b].T) >= -slack), len(b))
+                product = (left[a] @ right[b].T).ravel()
+                at = np.flatnonzero(product >= -slack)
+                x, y = np.divmod(at, len(b))
                 x, y = a[x], b[y]
+                # the same bound by the other words of b
+                ok = product[at] + rest[y] - rest[x] >= -slack
                 if lo[0] == hi[0]:
-                    x, y = x[x < y], y[x < y]
+                    ok &= x < y
+                x, y = x[ok], y[ok]
                 for at in range(0, len(x), 1 << 16):
                     i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-                    # the same bound by the other words of either
-                    ok = (m[i] * m[j]).sum(axis=1) + np.minimum(rest[i], rest[j]) >= share * (n[i] + n[j]) - slack
-                    i, j = i[ok], j[ok]
                     ok = may_overlap(outline[i], n[i], outline[j], n[j], threshold)
                     out.append(np.stack([np.minimum(key[i[ok]], key[j[ok]]), np.maximum(key[i[ok]], key[j[ok]])]))
         a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
@@ -260,37 +271,60 @@ def compare(pairs: DataFrame, rows: DataFrame, docs: DataFrame, threshold: float
     return pairs.join(a, "a").join(b, "b").where(reaches("text_a", "text_b")).select("a", "b").distinct()
 
 
-def expand(near: DataFrame, members: DataFrame, first: int) -> DataFrame:
-    """Pairs of classes as pairs of ids; see near_duplicates for the copies beyond the first."""
+def expand(near: DataFrame, members: DataFrame, first: int = 32) -> DataFrame:
+    """Pairs of classes as pairs of ids; see near_duplicates for the copies of a text beyond the first."""
     ends = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sizes = members.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail"))
-    several = sizes.where("head != tail").select("key", "head")
+    several = sizes.where("head != tail").select("key", F.lit(True).alias("several"))
     # few classes have copies or neighbours, so what follows is cut down to their members
     wanted = several.join(ends, "key", "full_outer")
     kept = cut(sketch_filter(members, F.col("key"), wanted, F.col("key")).join(wanted, "key").distinct())
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    rank = F.row_number().over(Window.partitionBy("key", "exact").orderBy("id"))
     leading = cut(kept.withColumn("rank", rank).where(F.col("rank") <= first))
     a = leading.select(F.col("key").alias("a"), F.col("collection"), F.col("id").alias("x"))
     b = leading.select(F.col("key").alias("b"), F.col("id").alias("y"))
     across = near.join(a, "a").join(b, "b").where("x != y").select("collection", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    copies = leading.where("head is not null")
+    copies = leading.where("several")
     left = copies.select("collection", "key", F.col("id").alias("id_a"))
     right = copies.select("key", F.col("id").alias("id_b"))
     inside = left.join(right, "key").where("id_a < id_b").select("collection", "id_a", "id_b")
-    last = leading.where(F.col("rank") == first).select("key", F.col("id").alias("last"))
-    rest = kept.where("head is not null").join(last, "key").where("id > last").select("collection", F.col("head").alias("id_a"), F.col("id").alias("id_b"))
+    text = ["key", "exact"]
+    heads = leading.where(F.col("rank") == 1).select(*text, F.col("id").alias("head"))
+    last = leading.where(F.col("rank") == first).select(*text, F.col("id").alias("last"))
+    rest = kept.where("several").join(last, text).where("id > last").join(heads, text).select("collection", F.col("head").alias("id_a"), F.col("id").alias("id_b"))
     return across.unionByName(inside).unionByName(rest).distinct()
 
 
-def duplicate_groups(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def link_counts(near: DataFrame, members: DataFrame) -> DataFrame:
+    """``collection, id, links``: how many other records each is a near duplicate of, from the classes' sizes.
+
+    An id with several texts is linked to what any of them is; a record that is near by several of its texts counts once.
+    """
+    held = F.count("*").over(Window.partitionBy("collection", "id"))
+    ids = members.select("collection", "id", "key").distinct().withColumn("held", held)
+    ids = cut(ids.withColumn("g", F.when(F.col("held") == 1, F.col("key")).otherwise(F.xxhash64("collection", "id", F.lit("several")))))
+    keys = ids.select("key").distinct()
+    close = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(keys.select(F.col("key").alias("a"), F.col("key").alias("b")))
+    reach = ids.select("g", F.col("key").alias("a")).distinct().join(close, "a").select("g", F.col("b").alias("key")).distinct()
+    total = reach.join(ids.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("g").agg(F.sum("n").alias("total"))
+    twice = reach.join(ids.where("held > 1").select("collection", "id", "key"), "key").groupBy("g", "collection", "id").agg((F.count("*") - 1).alias("more"))
+    twice = twice.groupBy("g").agg(F.sum("more").alias("more"))
+    rows = ids.select("collection", "id", "g").distinct().join(total, "g").join(twice, "g", "left")
+    return rows.select("collection", "id", (F.col("total") - F.coalesce("more", F.lit(0)) - 1).alias("links"))
+
+
+def duplicate_groups(docs: DataFrame, pairs: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """``collection, id, group, links``: a row for each record of docs; records linked by pairs, also through others, share a group.
 
     docs: ``collection, id``; pairs: near_duplicates of them. ``group`` is a number, the same for a group's records;
-    ``links`` counts a record's pairs. Records without a pair are groups of their own; null ids are left out.
+    ``links`` counts a record's pairs, or is taken from ``links`` (``collection, id, links``), as pairs spare copies. Records without a pair are groups of their own; null ids are left out.
     """
     node = lambda i: F.xxhash64("collection", i)
     both = pairs.select(node("id_a").alias("u"), node("id_b").alias("v"))
-    links = both.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    if links is None:
+        links = both.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    else:
+        links = links.select(node("id").alias("node"), "links")
     found = components(both).join(links, "node")
     rows = docs.where("id is not null and collection is not null").select("collection", "id").distinct().withColumn("node", node("id"))
     return rows.join(found, "node", "left").select("collection", "id", F.coalesce("component", "node").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -11,7 +11,7 @@ from .cross_split import cross_split_overlaps, overlap_report
 from .grouped_split import assign_splits, related, scenario_words
 from .language import code, identify
 from .mixing import mix, source_name
-from .near_dup import duplicate_groups, near_duplicates
+from .near_dup import duplicate_groups, expand, link_counts, near_classes, near_duplicates
 from .packing import pack, packing_report
 from .pair_defects import pair_defects
 from .sql import P1_FOUND, P3_FOUND, P4_FOUND
@@ -37,7 +37,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every record's group of near duplicates and its number of links."""
     texts = _texts(spark, d)
-    return duplicate_groups(texts, cut(near_duplicates(texts)))
+    near, members = near_classes(texts)
+    return duplicate_groups(texts, cut(expand(near, members)), link_counts(near, members))
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

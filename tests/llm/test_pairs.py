@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lathework.llm.cross_split import cross_split_overlaps, overlap_report
-from lathework.llm.near_dup import duplicate_groups, near_duplicates, product
+from lathework.llm.near_dup import duplicate_groups, expand, link_counts, near_classes, near_duplicates, product
 from lathework.llm.text import bag_overlap, words
 
 SCHEMA = "collection string, id string, text string, copies string"
@@ -60,6 +60,24 @@ def test_copies_beyond_the_first_are_linked_through_their_head(spark):
     assert {p for p in got if "z" not in p} == set(combinations(sorted(first), 2)) | {("k00", f"k{i:02d}") for i in range(3, 12)}
 
 
+def test_only_copies_of_one_text_are_spared(spark):
+    listed = [f"word{i}" for i in range(60)]
+    turned = [" ".join(listed[k:] + listed[:k]) for k in range(6)]
+    rows = [("c", f"t{k}", t, "") for k, t in enumerate(turned)] + [("c", f"copy{k}", turned[0], "") for k in range(5)]
+    rows += [("c", f"z{k}", " ".join(listed[k + 1 :]), "") for k in range(3)] + [("c", "t1", turned[2] + " more", ""), ("p", "t1", turned[1], "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    full = brute(rows, 0.7, 50)
+    near, members = near_classes(docs)
+    pairs = expand(near, members, 3)
+    got = {tuple(r) for r in pairs.collect()}
+    spared = {"copy3", "copy4", "t0"}
+    assert got <= full and {p for p in full if not spared & set(p)} == {p for p in got if not spared & set(p)}
+    assert ("c", "copy0", "t0") in got and len([p for p in got if "copy4" in p]) == 1
+    degree = Counter(i for c, *ends in full for i in ends)
+    groups = {(r["collection"], r["id"]): r["links"] for r in duplicate_groups(docs, pairs, link_counts(near, members)).collect()}
+    assert groups == {("c", i): degree[i] for c, i, *_ in rows if c == "c"} | {("p", "t1"): 0}
+
+
 def test_a_hot_column_is_split_into_blocks_without_losing_pairs(spark):
     text = lambda k: "the same long opening that everyone begins with here " + " ".join(f"u{k // 2}x{j}" for j in range(50)) + f" odd{k % 2}"
     rows = [("c", f"k{k:03d}", text(k), "") for k in range(60)]
