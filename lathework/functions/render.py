@@ -3,17 +3,39 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .strictjson import FIELDS, INGREDIENT, Broken, Number, check, parse
+from .strictjson import FIELDS, INGREDIENT, Broken, Number, check, escaped, parse
+
+
+class _Digits(int):
+    """A whole number that prints as its digits, however many."""
+
+    def __new__(cls, lexeme: str):
+        self = super().__new__(cls, 0)
+        self.lexeme = "0" if lexeme == "-0" else lexeme
+        return self
+
+    def __repr__(self) -> str:
+        return self.lexeme
+
+    __str__ = __repr__
 
 
 def _number(n: Number):
-    return int(n.lexeme) if n.lexeme.lstrip("-").isdigit() else float(n.lexeme)
+    if not n.lexeme.lstrip("-").isdigit():
+        return float(n.lexeme)
+    return int(n.lexeme) if len(n.lexeme) < 4000 else _Digits(n.lexeme)
+
+
+def _line(text: str) -> str:
+    """One composed, folded line."""
+    return " ".join(unicodedata.normalize("NFC", text).casefold().split())
 
 
 def ordered(value: dict) -> dict:
@@ -24,35 +46,58 @@ def ordered(value: dict) -> dict:
 
 def reading_form(value: dict) -> str:
     """Indented JSON in the contract's order, with a final line feed."""
-    return json.dumps(ordered(value), ensure_ascii=False, indent=2) + "\n"
+    return _dumped(ordered(value), indent=2) + "\n"
+
+
+def target_form(value: dict) -> str:
+    """Compact JSON in the contract's order: what a model is trained to answer."""
+    return _dumped(ordered(value), separators=(",", ":"))
+
+
+def _dumped(value: dict, **form) -> str:
+    """JSON; numbers of any length by their digits, which the library's writer refuses."""
+    held: list[str] = []
+
+    def stand_in(x):
+        if isinstance(x, _Digits):
+            held.append(x.lexeme)
+            return f"\x00{len(held) - 1}\x00"
+        if isinstance(x, dict):
+            return {k: stand_in(v) for k, v in x.items()}
+        return [stand_in(v) for v in x] if isinstance(x, list) else x
+
+    text = json.dumps(stand_in(value), ensure_ascii=False, **form)
+    for k, digits in enumerate(held):
+        text = text.replace(f'"\\u0000{k}\\u0000"', digits)
+    return escaped(text)
 
 
 def similarity_view(value: dict) -> str:
     """Labelled parts in one normalised line."""
     v = ordered(value)
     parts = [f"title: {v['title']}", *(f"ingredient: {i['amount']} {i['unit']} {i['name']}" for i in v["ingredients"]), *(f"method: {m}" for m in v["method"]), f"garnish: {v['garnish']}"]
-    return " ".join("\n".join(parts).casefold().split())
+    return escaped(_line("\n".join(parts)))
 
 
-RENDERED = T.StructType().add("reading", T.StringType()).add("view", T.StringType())
+RENDERED = T.StructType().add("reading", T.StringType()).add("view", T.StringType()).add("target", T.StringType())
 
 
 @F.pandas_udf(RENDERED)
 def rendered(raw: pd.Series) -> pd.DataFrame:
-    """Reading form and similarity view of responses that keep the contract; of others no reading form, and the text normalised."""
+    """Reading form, similarity view and training target of responses that keep the contract; of others the view alone: the text normalised."""
 
     def one(t):
         if t is None:
-            return None, None
+            return None, None, None
         try:
             if check(t)["schema_valid"]:
                 value = parse(t)
-                return reading_form(value), similarity_view(value)
+                return reading_form(value), similarity_view(value), target_form(value)
         except Broken:
             pass
-        return None, " ".join(t.casefold().split())
+        return None, escaped(_line(t)), None
 
-    return pd.DataFrame([one(t) for t in raw], columns=["reading", "view"])
+    return pd.DataFrame([one(t) for t in raw], columns=["reading", "view", "target"])
 
 
 def filled(template: str, **columns: Column) -> Column:

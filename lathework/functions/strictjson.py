@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
 import re
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -102,17 +102,27 @@ def _pointer(path: str, key) -> str:
 
 
 def _plain(value, path: str, repeated: list[str]):
-    """The value with dicts for members; the pointers of keys that occur again are added to ``repeated``."""
-    if isinstance(value, Members):
-        out: dict = {}
-        for k, v in value:
-            if k in out:
-                repeated.append(_pointer(path, k))
-            out[k] = _plain(v, _pointer(path, k), repeated)
-        return out
-    if isinstance(value, list):
-        return [_plain(v, _pointer(path, i), repeated) for i, v in enumerate(value)]
-    return value
+    """The value with dicts for members; the pointers of keys that occur again are added to ``repeated``. However deep the value is."""
+    root = [None]
+    todo = [(value, path, root, 0)]
+    while todo:
+        node, at, into, k = todo.pop()
+        if isinstance(node, Members):
+            into[k] = out = {}
+            last = {key: i for i, (key, _) in enumerate(node)}
+            for i, (key, v) in enumerate(node):
+                own = _pointer(at, key)
+                if key in out:
+                    repeated.append(own)
+                out[key] = None
+                # values that a repeated key replaces are looked through, and left
+                todo.append((v, own, out, key) if last[key] == i else (v, own, [None], 0))
+        elif isinstance(node, list):
+            into[k] = out = [None] * len(node)
+            todo += [(v, _pointer(at, i), out, i) for i, v in enumerate(node)]
+        else:
+            into[k] = node
+    return root[0]
 
 
 def parse(text: str):
@@ -126,16 +136,46 @@ def parse(text: str):
     return value
 
 
-def canonical(value) -> str:
-    """Sorted keys, no blanks, characters as they are; integers by their digits, other numbers as the nearest double."""
-    if isinstance(value, dict):
-        return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + canonical(value[k]) for k in sorted(value)) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, Number):
-        whole = not any(c in value.lexeme for c in ".eE")
-        return str(int(Decimal(value.lexeme))) if whole else repr(float(value.lexeme))
-    return json.dumps(value, ensure_ascii=False)
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(text: str) -> str:
+    """A text with its lone surrogates, which no encoding holds, as JSON escapes."""
+    return text if text.isascii() else _LONE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
+class _Mark(str):
+    """A piece of output, told from string values."""
+
+
+def canonical(value) -> str | None:
+    """Sorted keys, no blanks, characters as they are, lone surrogates escaped; integers by their digits, other numbers as the nearest double.
+
+    None where a number is beyond all doubles, as JSON has no infinity.
+    """
+    out, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, _Mark):
+            out.append(x)
+        elif isinstance(x, dict):
+            out.append("{")
+            todo.append(_Mark("}"))
+            for n, k in enumerate(sorted(x, reverse=True)):
+                todo += [*([_Mark(",")] if n else []), x[k], _Mark(json.dumps(k, ensure_ascii=False) + ":")]
+        elif isinstance(x, list):
+            out.append("[")
+            todo.append(_Mark("]"))
+            for n, v in enumerate(reversed(x)):
+                todo += [*([_Mark(",")] if n else []), v]
+        elif isinstance(x, Number):
+            whole = not any(c in x.lexeme for c in ".eE")
+            if not whole and math.isinf(float(x.lexeme)):
+                return None
+            out.append(("0" if x.lexeme == "-0" else x.lexeme) if whole else repr(float(x.lexeme)))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return escaped("".join(out))
 
 
 def _diagnose(text: str):
@@ -276,9 +316,9 @@ def check(text: str) -> dict:
         "json_valid": read is not None,
         "schema_valid": read is not None and not found,
         "failure_labels": [x for x in LABELS if x in present],
-        "diagnostics": [dict(zip(("label", "path", "detail"), x)) for x in found],
+        "diagnostics": [dict(zip(("label", "path", "detail"), map(escaped, x))) for x in found],
         "characters": len(text),
-        "top_level_keys": sorted(value) if isinstance(value, dict) else None,
+        "top_level_keys": sorted(map(escaped, value)) if isinstance(value, dict) else None,
         "ingredients": size("ingredients"),
         "method_steps": size("method"),
         "canonical": canonical(value) if read else None,
