@@ -1,10 +1,10 @@
-"""Rare words of documents: the columns of the document by word incidence matrix that pairs must share, and anchors."""
+"""Canonical order of documents' words, and the columns of the document by word incidence matrix that pairs must share."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from .text import Words, mix, powers
+from .text import Words
 
 #: Counters of the word-count sketch: its size, whatever the corpus holds.
 SKETCH = 1 << 20
@@ -19,57 +19,28 @@ def occurrence_slots(w: Words) -> np.ndarray:
     return (w.occurrences()[1] & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
-def prefixes(w: Words, count: np.ndarray, threshold: float):
-    """(document, column, count) of each document's rarest n - ceil(threshold * n) + 1 word occurrences.
+def canonical(w: Words, count: np.ndarray):
+    """(document, occurrence, count, rank): each document's word occurrences in one order for all documents, rarest first.
 
-    Two texts whose overlap reaches the threshold share at least threshold * n of either's n words. So of their common
-    occurrences the rarest, in one order for all texts (by ``count``, the sketch of occurrences, then by hash), is among
-    these of both.
+    The order goes by ``count``, the sketch of occurrences, then by hash; rank is the place in the document.
     """
     doc, h = w.occurrences()
     seen = count[occurrence_slots(w)]
     order = np.lexsort((h, seen, doc))
     doc, h, seen = doc[order], h[order], seen[order]
-    n = w.sizes()[doc]
-    keep = _rank(doc) < n - np.ceil(threshold * n - 1e-9) + 1
-    return doc[keep], h[keep], seen[keep]
+    return doc, h, seen, _rank(doc)
 
 
-def distinctive(w: Words, count: np.ndarray, bits: float, at_least: int, anchors: int):
-    """(document, gram) of the n-grams that begin or end at each document's ``anchors`` rarest words.
+def prefixes(w: Words, count: np.ndarray, threshold: float):
+    """(document, column, count) of each document's rarest n - ceil(threshold * n) + 1 word occurrences.
 
-    ``count`` is the sketch of word counts, which never undercounts: a word counted once can't be shared and anchors
-    nothing. A gram has ``at_least`` words and as many more as make the surprise of its words, each log2 of all words
-    over its count, reach ``bits``: the larger the corpus, the longer the grams. Grams end at their text's ends.
+    Two texts whose overlap reaches the threshold share at least threshold * n of either's n words. So of their common
+    occurrences the first in canonical order is among these of both.
     """
-    size = len(w.hashes)
-    if not size:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    seen = np.maximum(count[slots(w)], 1)
-    surprise = np.log2(max(count.sum(), 2) / seen)
-    order = anchor_words(w, count, anchors)
-    doc, lo, hi = w.doc[order], w.start[w.doc[order]], w.start[w.doc[order] + 1]
-    total = np.concatenate([[0.0], np.cumsum(surprise)])
-    up, down = powers(size + 1)
-    poly = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * up[:-1], dtype=np.uint64)])
-    end = np.searchsorted(total, total[order] + bits)
-    end = np.clip(np.maximum(end, order + at_least), None, hi)
-    begin = np.searchsorted(total, total[order + 1] - bits, side="right") - 1
-    begin = np.clip(np.minimum(begin, order + 1 - at_least), lo, None)
-    docs, grams = [], []
-    for a, b in ((order, end), (begin, order + 1)):
-        full = b - a >= np.minimum(at_least, hi - lo)
-        docs.append(doc[full])
-        grams.append(mix((poly[b[full]] - poly[a[full]]) * down[a[full]]))
-    return np.concatenate(docs), np.concatenate(grams)
-
-
-def anchor_words(w: Words, count: np.ndarray, anchors: int) -> np.ndarray:
-    """Positions of each document's rarest words, but for those counted once; document by document."""
-    seen = count[slots(w)]
-    usable = np.flatnonzero(seen > 1)
-    order = usable[np.lexsort((seen[usable], w.doc[usable]))]
-    return order[_rank(w.doc[order]) < anchors]
+    doc, h, seen, rank = canonical(w, count)
+    n = w.sizes()[doc]
+    keep = rank < n - np.ceil(threshold * n - 1e-9) + 1
+    return doc[keep], h[keep], seen[keep]
 
 
 def _rank(sorted_key: np.ndarray) -> np.ndarray:

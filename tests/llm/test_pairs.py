@@ -151,6 +151,29 @@ def test_a_prefix_that_many_suffixes_share_counts_as_much_as_any(spark):
     assert few == all_ and len(all_) > 50
 
 
+def test_reordered_prompts_are_found(spark):
+    rng = random.Random(6)
+    train, evaluation = [], []
+    for k in range(60):
+        own = [f"w{rng.randrange(120)}" for _ in range(30)]
+        turned = list(own)
+        turned[rng.randrange(30)] = "other"
+        rng.shuffle(turned)
+        train.append((f"t{k}", " ".join(own)))
+        evaluation.append(("f", f"e{k}", " ".join(turned)))
+    got = {(r["id"], r["train_id"], r["covered"]) for r in cross_split_overlaps(spark.createDataFrame(train, "id string, text string"), spark.createDataFrame(evaluation, "field string, id string, text string")).collect()}
+    shared = lambda t, u: (Counter(words(t)) & Counter(words(u))).total()
+    assert got == {(i, j, shared(t, u)) for _, i, t in evaluation for j, u in train if bag_overlap(Counter(words(t)), Counter(words(u))) >= 0.75} and len(got) >= 60
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_prompts_of_one_template_all_meet(spark, block):
+    text = lambda k: f"please write one short poem about own{k}"
+    train = spark.createDataFrame([(f"t{k}", text(f"a{k}")) for k in range(40)], "id string, text string")
+    evaluation = spark.createDataFrame([("f", f"e{k}", text(f"b{k}")) for k in range(30)], "field string, id string, text string")
+    assert cross_split_overlaps(train, evaluation, block=block).count() == 1200
+
+
 def test_overlap_report_counts_records_and_pairs(spark):
     train = spark.createDataFrame([("a", "one two three four five six seven"), ("b", "one two three four five six seven")], "id string, text string")
     evaluation = spark.createDataFrame([("v", "e", "one two three four five six seven", "s"), ("v", "f", "nothing of the kind at all", None)], "field string, id string, text string, source string")

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lathework.llm.grams import anchor_words, distinctive
+from lathework.llm.grams import SKETCH, canonical, occurrence_slots, prefixes
 from lathework.llm.text import Words, bag_overlap, may_overlap, outlines, words
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aAbBß éÉé١1_-.,\n“”x", max_size=30)), min_size=1, max_size=6)
@@ -49,15 +49,26 @@ def test_the_bound_holds_for_counts_past_the_top():
     assert may_overlap(outlines(w)[:1], w.sizes()[:1], outlines(w)[1:], w.sizes()[1:], 0.9)[0]
 
 
-def test_grams_are_the_same_wherever_a_passage_stands():
-    rng = random.Random(1)
-    passage = " ".join(f"rare{i} common thing of" for i in range(6))
-    texts = [" ".join(rng.choice("abcdef") for _ in range(20)) + " " + passage + " " + "".join(rng.choice("abc ") for _ in range(20)) for _ in range(2)]
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abcdefgh ", max_size=60), min_size=2, max_size=5), st.sampled_from([0.3, 0.7, 0.75, 1.0]))
+def test_texts_that_reach_the_threshold_share_a_column(texts, threshold):
     w = Words(texts)
-    from lathework.llm.grams import SKETCH, slots
+    count = np.bincount(occurrence_slots(w), minlength=SKETCH)
+    doc, column, _ = prefixes(w, count, threshold)
+    of = [set(column[doc == k].tolist()) for k in range(len(texts))]
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            if words(texts[a]) and bag_overlap(Counter(words(texts[a])), Counter(words(texts[b]))) >= threshold:
+                assert of[a] & of[b]
+
 
-    count = np.bincount(slots(w), minlength=SKETCH)
-    doc, gram = distinctive(w, count, 10.0, 4, 6)
-    per = [set(gram[doc == k].tolist()) for k in (0, 1)]
-    assert per[0] & per[1]
-    assert set(w.doc[anchor_words(w, count, 2)].tolist()) == {0, 1}
+def test_canonical_order_is_rarest_first_and_forgets_the_texts_order():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(20)) + f" rare{k // 2}" for k in range(6)]
+    texts[1] = " ".join(sorted(texts[0].split()))
+    w = Words(texts)
+    count = np.bincount(occurrence_slots(w), minlength=SKETCH)
+    doc, h, seen, rank = canonical(w, count)
+    for k in range(6):
+        assert (np.diff(seen[doc == k]) >= 0).all() and rank[doc == k].tolist() == list(range(w.sizes()[k]))
+    assert h[doc == 0].tolist() == h[doc == 1].tolist()
