@@ -1,38 +1,40 @@
 """Near-duplicate records by a blocked product of the document by word incidence matrix.
 
-The product is A Aᵀ with a row for each document and a column for each occurrence of a word (its first, its second, ...).
-Any two documents whose overlap reaches the threshold share a column among the rarest of both (grams.prefixes), so no
-other columns take part. The product runs column by column where columns hold at most ``block`` documents. Documents
-with a larger column among their rarest are multiplied with each other as a whole, in blocks of like sizes, each pair of
-blocks a task of its own: the columns most documents have are multiplied, and the words outside them bound what they can
-add. Whatever two documents have in common, their sizes and word outlines bound their overlap from above; pairs below
-the bound are discarded where they arise, the rest are compared word by word.
+The product is A Aᵀ with a row for each document and a column for each occurrence of a word (its first, its second, ...):
+n-grams of one word, as texts may be reordered. Any two documents whose overlap reaches the threshold share a column
+among the rarest of both (grams.prefixes), so no other columns take part. The product runs column by column where columns
+hold at most ``block`` documents, and the counts of shared columns are accumulated pair by pair. Documents with a larger
+column among their rarest are multiplied with each other as a whole, in blocks of like sizes, each pair of blocks a task
+of its own: the words most documents have are multiplied, rarer ones in columns of several words, and the words outside
+all columns bound what they can add. Sizes, accumulated counts and word outlines bound each pair's overlap from above;
+pairs below the bound are discarded where they arise, the rest are compared word by word.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import cut
 from ..plans.sketch import sketch_filter
 from .components import components
+from .exact import shared_words
 from .grams import SKETCH, occurrence_slots, prefixes, slots
-from .text import BUCKETS, Words, bag_overlap, may_overlap, mix, outlines, words
+from .text import BUCKETS, Words, may_overlap, mix, outlines
 
 #: Texts hashed together: bounds a worker's memory to a few times their bytes.
 CHUNK_BYTES = 4 << 20
 #: Columns multiplied in the dense product, each a byte; documents in one of its blocks, and of them at a time; steps of
 #: size from one block to those still compared with it.
-DENSE, DENSE_ROWS, TILE, STEPS = 256, 12288, 1024, 4
+DENSE, DENSE_ROWS, TILE, STEPS = 256, 24576, 512, 2
+#: Words that this share of the documents have are columns of their own; rarer ones are put together until a document has
+#: so many of a column's words on average.
+ALONE, TOGETHER = 0.35, 0.45
 
 
 def chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list]]:
@@ -68,6 +70,29 @@ def word_counts(texts: DataFrame, slots=slots) -> tuple[np.ndarray, int]:
     return out, int(got.loc[got["slot"] < 0, "n"].sum())
 
 
+def dense_columns(count: np.ndarray, n_docs: int) -> np.ndarray:
+    """The column of each sketch slot in the dense product, -1 for those outside.
+
+    The product of two documents' counts in a column is at least the words they share there, whichever words it holds, so
+    the columns' choice decides the cost and never the result. Words of a column are far apart in frequency order, as
+    equally frequent ones tend to occur together.
+    """
+    place = np.full(len(count), -1, np.int16)
+    order = np.argsort(-count, kind="stable")
+    order = order[count[order] > 0]
+    share = count[order] / max(n_docs, 1)
+    alone = min(int(np.searchsorted(-share, -ALONE, side="right")), DENSE)
+    place[order[:alone]] = np.arange(alone)
+    if alone < DENSE:
+        last = alone + int(np.searchsorted(np.cumsum(share[alone:]), (DENSE - alone) * TOGETHER, side="right")) + 1
+        load = [(0.0, c) for c in range(alone, DENSE)]
+        for slot, s in zip(order[alone:last].tolist(), share[alone:last].tolist()):
+            held, c = heapq.heappop(load)
+            place[slot] = c
+            heapq.heappush(load, (held + s, c))
+    return place
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.7,
@@ -97,26 +122,23 @@ def near_classes(docs: DataFrame, threshold: float = 0.7, min_words: int = 50, b
     A class, by ``key``, are the records with the same bag of words; ``exact`` is a hash of the text itself.
     """
     spark = docs.sparkSession
-    docs = docs.select("collection", "id", "text").where("text is not null and id is not null and collection is not null")
+    docs = docs.select("collection", "id", "text", F.xxhash64("text").alias("exact")).where("text is not null and id is not null and collection is not null")
     sketch, n_docs = word_counts(docs.select("text"), occurrence_slots)
     if not n_docs:
         return spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "collection string, id string, key long, exact long")
-    common = np.argsort(-sketch, kind="stable")[:DENSE]
-    place = np.full(SKETCH, -1, np.int16)
-    place[common] = np.arange(DENSE)
     step = -np.log(threshold * (1 - 1e-9)) / STEPS
     # 6 MB of fixed size
-    shared = spark.sparkContext.broadcast((sketch.astype(np.float32), place))
+    shared = spark.sparkContext.broadcast((sketch.astype(np.float32), dense_columns(sketch, n_docs)))
 
     def features(batches):
         for batch in batches:
             cols = batch.to_pydict()
-            for who, texts in chunks(list(zip(cols["collection"], cols["id"])), cols["text"]):
+            for who, texts in chunks(list(zip(cols["collection"], cols["id"], cols["exact"])), cols["text"]):
                 w = Words(texts)
                 n = w.sizes()
                 count, at = shared.value
                 doc, gram, seen = prefixes(w, count, threshold)
-                salt = np.fromiter((hash_text(c) for c, _ in who), np.uint64, len(who))
+                salt = np.fromiter((hash_text(x[0]) for x in who), np.uint64, len(who))
                 key = mix(w.bags() + salt).view(np.int64)
                 large = np.bincount(doc[seen > block], minlength=len(who)) > 0
                 doc, gram = doc[seen <= block], gram[seen <= block]
@@ -127,24 +149,37 @@ def near_classes(docs: DataFrame, threshold: float = 0.7, min_words: int = 50, b
                 column, held = column[column >= 0].astype(np.uint8), held[column >= 0]
                 ends = np.searchsorted(held, np.arange(len(who) + 1)).astype(np.int32)
                 columns = pa.BinaryArray.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(column.tobytes())])
-                exact = pa.array(np.frombuffer(b"".join(blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in texts), np.int64))
                 level = pa.array(np.floor(np.log(np.maximum(n, 1)) / step).astype(np.int32))
                 outline = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BUCKETS), len(who), [None, pa.py_buffer(outlines(w).tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _ in who]), pa.array([i for _, i in who]), pa.array(key), pa.array(n.astype(np.int32)), outline, grams, pa.array(large), level, columns, exact],
+                    [pa.array([x[0] for x in who]), pa.array([x[1] for x in who]), pa.array(key), pa.array(n.astype(np.int32)), outline, grams, pa.array(large), level, columns, pa.array([x[2] for x in who], pa.int64())],
                     ["collection", "id", "key", "n", "outline", "grams", "large", "level", "columns", "exact"],
                 ).take(pa.array(keep))
 
     schema = "collection string, id string, key long, n int, outline binary, grams array<long>, large boolean, level int, columns binary, exact long"
-    rows = docs.mapInArrow(features, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cut(docs.mapInArrow(features, schema))
     one = rows.drop("id", "exact").dropDuplicates(["key"])
     entries = one.select("key", "large", F.explode("grams").alias("gram"))
     # pairs of two documents with large columns are the dense product's
-    entries = sketch_filter(entries, F.col("gram"), entries.where("not large"), F.col("gram")).select("key", "gram")
+    entries = sketch_filter(entries, F.col("gram"), entries.where("not large"), F.col("gram"), 16 * n_docs).select("key", "gram")
+    # the sketch never undercounts, so a window holds at most ``block`` documents
     column = entries.withColumn("size", F.count("*").over(Window.partitionBy("gram"))).where("size > 1")
-    sparse = product(column.join(one.select("key", "n", "outline"), "key"), threshold, block)
+    met = product(column.join(one.select("key", "n", "outline"), "key"), threshold, block)
+    sparse = met.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")).where(reachable(threshold)).select("a", "b")
     pairs = cut(sparse.unionByName(dense_product(one.where("large"), threshold)).distinct())
-    return cut(compare(pairs, rows, docs, threshold)), rows.select("collection", "id", "key", "exact")
+    counted = shared_words(pairs, rows.select("key", "exact"), docs.select("exact", "text"), n_docs)
+    near = cut(counted.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b"))
+    return near, rows.select("collection", "id", "key", "exact")
+
+
+def reachable(threshold: float) -> Column:
+    """Whether ``common`` columns shared among the rarest of two texts of ``na`` and ``nb`` words leave the threshold possible.
+
+    Up to where the first of the two rarest parts ends, in the one order of words, all shared words are counted; from
+    there on it can only be as many as that text has left.
+    """
+    left = lambda n: F.ceil(threshold * F.col(n) - 1e-9) - 1
+    return F.col("common") + F.greatest(left("na"), left("nb")) >= F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
 
 
 def hash_text(text: str) -> int:
@@ -154,7 +189,10 @@ def hash_text(text: str) -> int:
 
 
 def product(column: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Distinct pairs of keys with a common column, left by the bounds. column: key, gram, size, n, outline."""
+    """``a, b, na, nb, common``: pairs of keys with common columns that sizes and outlines leave, and how many columns a task saw.
+
+    column: key, gram, size, n, outline. Larger columns than ``block`` are split into blocks, each pair of blocks a cell.
+    """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
     own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int")
     placed = (
@@ -191,13 +229,16 @@ def product(column: DataFrame, threshold: float, block: int) -> DataFrame:
                 break
             i = live[(key[live] != key[live + d]) & ((lo[live] == hi[live]) | (own[live] != own[live + d]))]
             i = i[may_overlap(outline[i], n[i], outline[i + d], n[i + d], threshold)]
-            out_a.append(np.minimum(key[i], key[i + d]))
-            out_b.append(np.maximum(key[i], key[i + d]))
+            x, y = np.where(key[i] < key[i + d], i, i + d), np.where(key[i] < key[i + d], i + d, i)
+            out_a.append(x)
+            out_b.append(y)
         if out_a:
-            both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            x, y = np.concatenate(out_a), np.concatenate(out_b)
+            _, first, common = np.unique(np.stack([key[x], key[y]]), axis=1, return_index=True, return_counts=True)
+            x, y = x[first], y[first]
+            yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y]), pa.array(n[x]), pa.array(n[y]), pa.array(common)], ["a", "b", "na", "nb", "common"])
 
-    return placed.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(multiply, "a long, b long").distinct()
+    return placed.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(multiply, "a long, b long, na long, nb long, common long")
 
 
 def dense_product(docs: DataFrame, threshold: float) -> DataFrame:
@@ -220,6 +261,7 @@ def dense_product(docs: DataFrame, threshold: float) -> DataFrame:
         return np.bincount(at, minlength=len(columns) * DENSE).reshape(-1, DENSE).astype(np.float32), size
 
     def multiply(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("n")
         lo, hi, own, key, n = (cell.column(c).to_numpy() for c in ("lo", "hi", "own", "key", "n"))
         n = n.astype(np.int64)
         outline = np.frombuffer(b"".join(cell.column("outline").to_pylist()), np.uint8).reshape(-1, BUCKETS)
@@ -234,6 +276,9 @@ def dense_product(docs: DataFrame, threshold: float) -> DataFrame:
         for k in range(0, len(first), TILE):
             for l in range(k if lo[0] == hi[0] else 0, len(second), TILE):
                 a, b = first[k : k + TILE], second[l : l + TILE]
+                # sorted by size, so whole tiles fall below the bound
+                if n[a[-1]] < threshold * n[b[0]] * (1 - 1e-9) or n[b[-1]] < threshold * n[a[0]] * (1 - 1e-9):
+                    continue
                 product = (left[a] @ right[b].T).ravel()
                 at = np.flatnonzero(product >= -slack)
                 x, y = np.divmod(at, len(b))
@@ -253,24 +298,6 @@ def dense_product(docs: DataFrame, threshold: float) -> DataFrame:
     return placed.groupBy("collection", "lo", "hi").applyInArrow(multiply, "a long, b long")
 
 
-def compare(pairs: DataFrame, rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs of keys whose texts have the overlap, compared word by word."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    which = sketch_filter(rows.select("collection", "id", "key"), F.col("key"), ends, F.col("key")).groupBy("key").agg(F.min(F.struct("collection", "id")).alias("who"))
-    who = which.select("key", "who.collection", "who.id")
-    texts = sketch_filter(docs, F.xxhash64("collection", "id"), who, F.xxhash64("collection", "id"))
-    texts = cut(texts.join(who, ["collection", "id"]))
-    # an id with two texts gives both; keep the one of this class by its bag, which the comparison below decides anyway
-    a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-
-    @F.pandas_udf("boolean")
-    def reaches(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([bag_overlap(Counter(words(s)), Counter(words(t))) >= threshold - 1e-12 for s, t in zip(x, y)], dtype=bool)
-
-    return pairs.join(a, "a").join(b, "b").where(reaches("text_a", "text_b")).select("a", "b").distinct()
-
-
 def expand(near: DataFrame, members: DataFrame, first: int = 32) -> DataFrame:
     """Pairs of classes as pairs of ids; see near_duplicates for the copies of a text beyond the first."""
     ends = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
