@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import QUERIES, SQL, audit, contracts, evaluation, retrieval, sampling, text, training  # noqa: F401
+from .queries import QUERIES, SQL, audit, contracts, evaluation, records, retrieval, sampling, text, training  # noqa: F401
 
 
 def queries() -> dict:

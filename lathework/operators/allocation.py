@@ -11,7 +11,7 @@ import hashlib
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATES = "family string, records int, covered long, chosen array<string>"
@@ -85,7 +85,11 @@ def choose(states: DataFrame, target: int, required: int) -> dict[str, list[str]
 
 
 def greedy_cover(records: DataFrame, family: str, id_: str, labels: str, size: int, seed: int) -> DataFrame:
-    """``family, id, pick``: in each family, one record after another that adds most new labels, then first in seeded order."""
+    """``family, id, pick``: in each family, one record after another that adds most new labels, then first in seeded order.
+
+    Of records with the same labels only the first ``size`` can be picked, so a family's task holds so many for each of its
+    different sets of labels, whatever the records.
+    """
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         left = sorted(((priority(seed, i), i, frozenset(l)) for i, l in zip(frame[id_], frame[labels])))
@@ -98,4 +102,7 @@ def greedy_cover(records: DataFrame, family: str, id_: str, labels: str, size: i
             out.append((frame[family].iloc[0], best[1], len(out) + 1))
         return pd.DataFrame(out, columns=["family", "id", "pick"])
 
-    return records.select(family, id_, labels).groupBy(family).applyInPandas(pick, "family string, id string, pick int")
+    key = F.sha2(F.concat_ws("|", F.lit("group-allocation"), F.lit(str(seed)), F.col(id_).cast("string")), 256)
+    same = Window.partitionBy(family, F.array_join(F.array_sort(F.array_distinct(labels)), "\u0000")).orderBy(key, id_)
+    few = records.select(family, id_, labels).withColumn("__r", F.row_number().over(same)).where(F.col("__r") <= size).drop("__r")
+    return few.groupBy(family).applyInPandas(pick, "family string, id string, pick int")

@@ -140,11 +140,64 @@ def ledger(entries: DataFrame, chain: str, order: str, content: str) -> DataFram
     return entries.select(chain, order, content).groupBy(chain).applyInPandas(fold, schema)
 
 
-def ledger_breaks(entries: DataFrame, chain: str, order: str) -> DataFrame:
-    """Entries of a ledger whose previous digest isn't that of the entry before, or whose own digest is wrong."""
+def ledger_breaks(entries: DataFrame, chain: str, order: str, content: str = "content") -> DataFrame:
+    """Entries of a ledger whose previous digest isn't that of the entry before, or whose own digest doesn't cover their content.
+
+    ``problem`` says which: ``previous``, ``entry``, or both, and ``expected`` is the entry before's digest; a sound ledger
+    has no rows.
+    """
     w = Window.partitionBy(chain).orderBy(order)
-    expected = F.coalesce(F.lag("entry_sha256").over(w), F.lit("0" * 64))
-    return entries.withColumn("expected", expected)
+    before = F.coalesce(F.lag("entry_sha256").over(w), F.lit("0" * 64))
+    own = F.sha2(F.concat(F.coalesce("previous_sha256", F.lit("")), F.lit("|"), F.coalesce(F.col(content), F.lit(""))), 256)
+    wrong = F.array_compact(F.array(F.when(~F.col("previous_sha256").eqNullSafe(before), "previous"), F.when(~F.col("entry_sha256").eqNullSafe(own), "entry")))
+    return entries.withColumns({"expected": before, "problem": F.array_join(wrong, ",")}).where("problem != ''")
+
+
+def crossed_quotas(df: DataFrame, quotas: dict[str, tuple[list[str], dict[tuple, tuple[int, int]]]]) -> DataFrame:
+    """``quota, value, n, least, most`` of every cell of every quota whose count is out of its bounds.
+
+    quotas: by name the columns that cross and, for each tuple of their values, least and most; a cell without bounds may
+    hold nothing. All quotas are counted in one pass and one shuffle; value joins a cell's values by '|', nulls as 'null'.
+    """
+    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    cells = F.array(*[F.struct(F.lit(q).alias("quota"), F.concat_ws("|", *[label(c) for c in by]).alias("value")) for q, (by, _) in quotas.items()])
+    counts = df.select(F.explode(cells).alias("c")).groupBy("c.quota", "c.value").agg(F.count("*").alias("n"))
+    wanted = [(q, "|".join("null" if v is None else str(v) for v in cell), lo, hi) for q, (_, bounds) in quotas.items() for cell, (lo, hi) in bounds.items()]
+    target = df.sparkSession.createDataFrame(wanted, "quota string, value string, least long, most long")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    both = counts.join(target, ["quota", "value"], "full_outer").select("quota", "value", zero("n"), zero("least"), zero("most"))
+    return both.where("n < least or n > most")
+
+
+def concentration(df: DataFrame, dimensions: dict[str, Column], above: int) -> DataFrame:
+    """``dimension, value, n`` of the values that occur more than ``above`` times."""
+    return coverage(df, dimensions).where(F.col("n") > above)
+
+
+def outside_registry(df: DataFrame, registry: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose values of the columns are no row of the registry; null is in no registry."""
+    return df.join(registry.select(*on).distinct(), on, "left_anti")
+
+
+def linked_chain(df: DataFrame, id_: str, prior: str, target: str) -> DataFrame:
+    """``id, problem`` of rows whose prior is no proper one: ``missing``, ``itself``, ``other target``, or ``shared`` with another row.
+
+    Rows without a prior begin a chain; a row with several problems has the first.
+    """
+    rows = df.select(F.col(id_).alias("id"), F.col(prior).alias("prior"), F.col(target).alias("target"))
+    heads = rows.select(F.col("id").alias("prior"), F.col("target").alias("prior_target"), F.lit(1).alias("there")).dropDuplicates(["prior"])
+    cited = rows.where("prior is not null").groupBy("prior").agg(F.count("*").alias("cited"))
+    met = rows.where("prior is not null").join(heads, "prior", "left").join(cited, "prior")
+    problem = F.when(F.col("prior") == F.col("id"), "itself").when(F.col("there").isNull(), "missing").when(~F.col("prior_target").eqNullSafe(F.col("target")), "other target").when(F.col("cited") > 1, "shared")
+    return met.select("id", problem.alias("problem")).where("problem is not null")
+
+
+def expected_differences(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, problem``: expected rows that are missing, and actual ones that are unexpected or repeated."""
+    e, a = expected.select(*keys).distinct().withColumn("__e", F.lit(1)), actual.groupBy(*keys).agg(F.count("*").alias("__n"))
+    both = e.join(a, keys, "full_outer")
+    problem = F.when(F.col("__n").isNull(), "missing").when(F.col("__e").isNull(), "unexpected").when(F.col("__n") > 1, "repeated")
+    return both.select(*keys, problem.alias("problem")).where("problem is not null")
 
 
 def adjudicate(reviews: DataFrame, subject: str, decision: str, stage: str) -> DataFrame:

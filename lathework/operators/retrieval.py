@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from bisect import insort
 
 import numpy as np
 import pandas as pd
@@ -26,76 +27,237 @@ def exact_matches(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return key(queries).select("qid", "key").join(key(corpus).select("id", "key"), "key").select("qid", "id").distinct()
 
 
-def jaccard_neighbours(queries: DataFrame, corpus: DataFrame, tokens: Column, k: int, digits: int = 6) -> DataFrame:
-    """``qid, id, shared, score, rank``: the k corpus rows with the greatest token overlap of each query.
+#: Queries and corpus rows that meet in one task at most.
+QUERY_BLOCK, CORPUS_BLOCK = 512, 20_000
 
-    queries: qid, text; corpus: id, text. Texts meet on their tokens by an equi-join, summed before the second shuffle;
-    pairs without a common token don't arise.
+
+def in_blocks(queries: DataFrame, corpus: DataFrame, kernel, schema: str, block: int = QUERY_BLOCK) -> DataFrame:
+    """The rows of kernel(queries, corpus) (pandas frames) of every pair of a block of queries and a block of corpus rows.
+
+    queries has ``qid``, corpus ``id``. A stated query set meets all rows: the corpus is copied once for each ``block``
+    queries, the queries once for each block of the corpus, and each pair of blocks is a task of bounded size.
     """
-    q = queries.select("qid", tokens.alias("t")).select("qid", "t", F.size("t").alias("qn"))
-    c = corpus.select("id", tokens.alias("t")).select("id", "t", F.size("t").alias("cn"))
-    met = q.select("qid", "qn", F.explode("t").alias("token")).join(c.select("id", "cn", F.explode("t").alias("token")), "token")
-    shared = met.groupBy("qid", "id").agg(F.count("*").alias("shared"), F.first("qn").alias("qn"), F.first("cn").alias("cn"))
-    scored = shared.select("qid", "id", "shared", F.round(F.col("shared") / (F.col("qn") + F.col("cn") - F.col("shared")), digits).alias("score"))
-    return top_k(scored, ["qid"], "score", "id", k)
+    n, m = queries.count(), corpus.count()
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    qs, cs = max(1, -(-n // block)), max(1, -(-m // CORPUS_BLOCK), min(cores, m // 500))
+    q = queries.withColumns({"__q": F.pmod(F.xxhash64("qid"), F.lit(qs)).cast("int"), "__c": F.explode(F.sequence(F.lit(0), F.lit(cs - 1)))})
+    # other names than the queries', as both sides may come from one table
+    c = corpus.select(*[F.col(x).alias(f"{x}_of_row") for x in corpus.columns], F.pmod(F.xxhash64("id"), F.lit(cs)).cast("int").alias("__c")).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))))
+    columns = [x.split()[0] for x in schema.split(", ")]
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({k: [] for k in columns}).cast(_arrow(schema))
+        rows = right.to_pandas().rename(columns=lambda x: x.removesuffix("_of_row"))
+        return pa.Table.from_pandas(kernel(left.to_pandas(), rows)[columns], schema=_arrow(schema), preserve_index=False)
+
+    return q.groupBy("__q", "__c").cogroup(c.groupBy("__q", "__c")).applyInArrow(run, schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return {"bigint": "long"}.get(df.schema[column].dataType.simpleString(), df.schema[column].dataType.simpleString())
+
+
+def shared_counts(left, right) -> np.ndarray:
+    """How many elements any two of two series of arrays of distinct numbers share, counted over the elements queries have."""
+    size = np.fromiter(map(len, left), np.int64, len(left))
+    flat = np.concatenate(list(left)) if size.sum() else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(flat, kind="stable")
+    words, first = np.unique(flat[order], return_index=True)
+    owner, ends = owner[order], np.append(first, len(flat))
+    other = np.fromiter(map(len, right), np.int64, len(right))
+    tokens = np.concatenate(list(right)) if other.sum() else np.empty(0, np.int64)
+    doc = np.repeat(np.arange(len(other)), other)
+    out = np.zeros(len(size) * len(other), np.int32)
+    if len(words) and len(tokens):
+        at = np.minimum(np.searchsorted(words, tokens), len(words) - 1)
+        hit = words[at] == tokens
+        at, doc = at[hit], doc[hit]
+        many = ends[at + 1] - ends[at]
+        # the queries that hold each token, in runs of bounded size
+        for lo in range(0, len(at), 1 << 16):
+            a, d, k = at[lo : lo + (1 << 16)], doc[lo : lo + (1 << 16)], many[lo : lo + (1 << 16)]
+            inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            np.add.at(out, owner[np.repeat(ends[a], k) + inner] * len(other) + np.repeat(d, k), 1)
+    return out.reshape(len(size), len(other))
+
+
+def _best(score: np.ndarray, allowed: np.ndarray, k: int):
+    """Places of each row's k best allowed scores, with all that equal the k-th, so that ties fall by id later."""
+    score = np.where(allowed, score, -np.inf)
+    keep = min(k, score.shape[1])
+    bar = -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep]
+    return np.nonzero(allowed & (score >= bar))
+
+
+def _none(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+    return np.ones((len(q), len(c)), bool)
+
+
+def earlier(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+    """Rows before the query in the order of ids."""
+    return c["id"].to_numpy()[None] < q["qid"].to_numpy()[:, None]
+
+
+def others(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+    """All rows but the query itself."""
+    return c["id"].to_numpy()[None] != q["qid"].to_numpy()[:, None]
+
+
+def authored_before(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+    """Rows of an index (``at``) below the query's; null is before nothing."""
+    return c["at"].to_numpy(float)[None] < q["at"].to_numpy(float)[:, None]
 
-def metadata_neighbours(queries: DataFrame, corpus: DataFrame, fields: list[str], k: int) -> DataFrame:
-    """``qid, id, score, rank``: how many of the fields have a value in common; each field holds an array of values."""
 
-    def values(df: DataFrame, key: str) -> DataFrame:
-        rows = df.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("vs")) for f in fields])).alias("x"))
-        return rows.select(key, "x.field", F.explode("x.vs").alias("v")).select(key, "field", normalize(F.col("v")).alias("v")).where("v != ''").distinct()
+def same_group(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+    """Other rows of the query's ``group``; null is no group."""
+    a, b = q["group"].to_numpy(object), c["group"].to_numpy(object)
+    known = np.array([x is not None for x in a])
+    return others(q, c) & known[:, None] & (a[:, None] == b[None])
 
-    met = values(queries, "qid").join(values(corpus, "id"), ["field", "v"]).select("qid", "id", "field").distinct()
-    return top_k(met.groupBy("qid", "id").agg(F.count("*").alias("score")), ["qid"], "score", "id", k)
 
+def jaccard_neighbours(queries: DataFrame, corpus: DataFrame, tokens: Column, k: int, digits: int = 6, eligible=_none) -> DataFrame:
+    """``qid, id, shared, score, rank``: the k eligible corpus rows with the greatest token overlap of each query, among those that share a token.
 
-def vector_neighbours(queries: DataFrame, corpus: DataFrame, k: int, block: int = 2048, digits: int = 6) -> DataFrame:
+    queries: qid, text; corpus: id, text; further columns are for ``eligible`` to decide by, which says of a block of
+    queries and one of rows which may meet. Tokens are counted in blocks as hashes, so a token that every row has costs
+    no more than others, and only each block's best are shuffled.
+    """
+    hashed = F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
+    q = queries.withColumn("t", hashed).drop("text")
+    c = corpus.withColumn("t", hashed).drop("text")
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        shared = shared_counts(left["t"], right["t"])
+        a, b = left["t"].map(len).to_numpy(), right["t"].map(len).to_numpy()
+        score = np.round(shared / np.maximum(a[:, None] + b[None] - shared, 1), digits)
+        i, j = _best(score, (shared > 0) & eligible(left, right), k)
+        return pd.DataFrame({"qid": left["qid"].to_numpy()[i], "id": right["id"].to_numpy()[j], "shared": shared[i, j].astype(np.int64), "score": score[i, j]})
+
+    found = in_blocks(q.where("t is not null"), c.where("t is not null"), kernel, f"qid {_kind(queries, 'qid')}, id {_kind(corpus, 'id')}, shared long, score double")
+    return top_k(found.withColumn("score", F.round("score", digits)), ["qid"], "score", "id", k)
+
+
+def metadata_neighbours(queries: DataFrame, corpus: DataFrame, fields: list[str], k: int) -> DataFrame:
+    """``qid, id, score, rank``: in how many of the fields two rows have a value in common; each field holds an array of values.
+
+    Blank and null values are none; rows without a common value aren't neighbours. In blocks, so that a value most rows
+    have pairs nothing.
+    """
+
+    def hashed(df: DataFrame, key: str) -> DataFrame:
+        clean = lambda f: F.array_compact(F.transform(F.coalesce(f, F.array().cast("array<string>")), lambda v: F.when(normalize(v) != "", F.xxhash64(normalize(v)))))
+        return df.select(key, *[F.array_distinct(clean(F.col(f))).alias(f) for f in fields]).distinct()
+
+    def bounded(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        # several rows of one id count as one, by any of them
+        masks = [shared_counts(left[f], right[f]) > 0 for f in fields]
+        qids, qi = np.unique(left["qid"].to_numpy().astype(str), return_inverse=True)
+        ids, ii = np.unique(right["id"].to_numpy().astype(str), return_inverse=True)
+        score = np.zeros((len(qids), len(ids)), np.int64)
+        for m in masks:
+            by_query = np.zeros((len(qids), m.shape[1]), bool)
+            np.logical_or.at(by_query, qi, m)
+            both = np.zeros((len(ids), len(qids)), bool)
+            np.logical_or.at(both, ii, by_query.T)
+            score += both.T
+        i, j = _best(score.astype(float), score > 0, k)
+        return pd.DataFrame({"qid": qids[i], "id": ids[j], "score": score[i, j]})
+
+    found = in_blocks(hashed(queries, "qid"), hashed(corpus, "id"), bounded, "qid string, id string, score long")
+    return top_k(found, ["qid"], "score", "id", k)
+
+
+def vector_neighbours(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY_BLOCK, digits: int = 6) -> DataFrame:
     """``qid, id, score, rank``: the k rows with the greatest cosine for every query vector, itself left out.
 
-    queries: qid, vector; corpus: id, vector. Queries come in blocks of bounded size, each sent to all tasks as one
-    matrix; every task keeps its k best for each query, so that little is shuffled. Vectors without length are left out.
+    queries: qid, vector; corpus: id, vector. Blocks of both meet as one matrix product, whose best alone are shuffled.
+    Vectors without length are left out.
+    """
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = np.stack(left["vector"]).astype(np.float64), np.stack(right["vector"]).astype(np.float64)
+        n, m = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+        some = (n > 0)[:, None] & (m > 0)[None]
+        score = np.round((a / np.maximum(n, 1e-300)[:, None]) @ (b / np.maximum(m, 1e-300)[:, None]).T, digits)
+        i, j = _best(score, some & others(left, right), k)
+        return pd.DataFrame({"qid": left["qid"].to_numpy()[i], "id": right["id"].to_numpy()[j], "score": score[i, j]})
+
+    q, c = queries.select("qid", "vector").where("vector is not null"), corpus.select("id", "vector").where("vector is not null")
+    return top_k(in_blocks(q, c, kernel, "qid long, id long, score double", block), ["qid"], "score", "id", k)
+
+
+def lexical_neighbours(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, eligible=_none) -> DataFrame:
+    """``qid, id, score, rank``: the k eligible rows with the greatest token_ratio (0 to 100) of each query, of those above 0.
+
+    queries: qid, text; corpus: id, text, in normal form; further columns are for ``eligible``. In each pair of blocks the
+    rows are tried in the order of a bound on their ratio, and a query's search ends where the bound falls below its k-th
+    best, so most ratios are never computed and none is missed.
     """
-    spark, out = corpus.sparkSession, None
-    rows: list = []
-
-    def run(block_rows: list) -> DataFrame:
-        ids = [r["qid"] for r in block_rows]
-        matrix = np.array([r["vector"] for r in block_rows], np.float64)
-        size = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((np.array(ids)[size > 0], matrix[size > 0] / size[size > 0, None]))
-
-        def best(batches):
-            qids, q = shared.value
-            held: list[pd.DataFrame] = []
-            for batch in batches:
-                key = batch.column(0).to_numpy()
-                v = np.stack(batch.column(1).to_pylist()).astype(np.float64) if batch.num_rows else np.zeros((0, q.shape[1]))
-                n = np.linalg.norm(v, axis=1)
-                key, v = key[n > 0], v[n > 0] / n[n > 0, None]
-                score = np.round(q @ v.T, digits)
-                score[qids[:, None] == key[None]] = -2
-                keep = min(k, score.shape[1])
-                # all that equal the k-th best stay, so that ties fall by id later
-                bar = -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep] if keep else np.zeros((len(qids), 1))
-                i, j = np.nonzero((score >= bar) & (score > -2))
-                held.append(pd.DataFrame({"qid": qids[i], "id": key[j], "score": score[i, j]}))
-            if held:
-                frame = pd.concat(held).sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid").head(k)
-                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-        return corpus.select("id", "vector").mapInArrow(best, "qid long, id long, score double")
-
-    for r in queries.select("qid", "vector").toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            out = run(rows) if out is None else out.unionByName(run(rows))
-            rows = []
-    if rows or out is None:
-        last = run(rows) if rows else spark.createDataFrame([], "qid long, id long, score double")
-        out = last if out is None else out.unionByName(last)
-    return top_k(out, ["qid"], "score", "id", k)
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        may = eligible(left, right)
+        texts = [sorted(t.split()) for t in right["text"]]
+        joined = [" ".join(t) for t in texts]
+        sets = [set(t) for t in texts]
+        bags, sizes = _letters(joined), np.fromiter(map(len, joined), np.int64, len(joined))
+        qids, ids, out = left["qid"].to_numpy(), right["id"].to_numpy(), []
+        for i, text in enumerate(left["text"]):
+            own = sorted(text.split())
+            if not own:
+                continue
+            whole = " ".join(own)
+            mine = set(own)
+            both = np.minimum(bags, _letters([whole])[0]).sum(axis=1)
+            bound = 200.0 * both / (len(whole) + sizes)
+            met = np.fromiter((len(mine & s) for s in sets), np.int64, len(sets))
+            # with a shared token the shorter of the compared strings may be all of the longer
+            bound = np.where(met > 0, 100.0, bound)
+            bound[~may[i] | (sizes == 0)] = -1
+            for_shared = np.flatnonzero(met > 0)
+            bound[for_shared] = np.where(bound[for_shared] < 0, -1, [_shared_bound(mine, whole, sets[j], joined[j], 200.0 * both[j] / (len(whole) + sizes[j])) for j in for_shared])
+            held: list[float] = []
+            for j in np.argsort(-bound, kind="stable").tolist():
+                if bound[j] <= 0 or (len(held) >= k and bound[j] < held[k - 1] - 1e-9):
+                    break
+                r = round(token_ratio(text, right["text"].iloc[j]), digits)
+                if r > 0:
+                    out.append((qids[i], ids[j], r))
+                    insort(held, r, key=lambda x: -x)
+        return pd.DataFrame(out, columns=["qid", "id", "score"])
+
+    clean = lambda df: df.where("text is not null")
+    found = in_blocks(clean(queries), clean(corpus), kernel, f"qid {_kind(queries, 'qid')}, id {_kind(corpus, 'id')}, score double")
+    return top_k(found, ["qid"], "score", "id", k)
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """Characters of each text by code, modulo a fixed number: what two texts share bounds their common subsequences."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % 128
+    return np.bincount(np.repeat(np.arange(len(texts)), size) * 128 + codes, minlength=len(texts) * 128).reshape(-1, 128)
+
+
+def _shared_bound(a: set, whole_a: str, b: set, whole_b: str, plain: float) -> float:
+    """A bound of token_ratio for two token sets that share one at least, from lengths alone."""
+    length = lambda s: sum(map(len, s)) + max(len(s) - 1, 0)
+    both, x, y = length(a & b), length(a - b), length(b - a)
+    if not x or not y:
+        return 100.0
+    one, two = both + 1 + x, both + 1 + y
+    return max(plain, 200.0 * both / (both + one), 200.0 * both / (both + two), 200.0 * min(one, two) / (one + two))
+
+
+def recall_at(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """``queries, hits, recall``: of the expected rows (qid, id) how many are among the found ones; null without any."""
+    hit = expected.join(found.select("qid", "id", F.lit(1).alias("hit")).distinct(), ["qid", "id"], "left")
+    return hit.agg(F.count("*").alias("queries"), F.count("hit").alias("hits"), F.round(F.try_divide(F.count("hit"), F.count("*")), 6).alias("recall"))
 
 
 def merge_signals(signals: dict[str, DataFrame]) -> DataFrame:

@@ -69,7 +69,8 @@ def stratified(df: DataFrame, id_: str, group: str, stratum: str, each: int, tot
     key = hash_order(namespace, seed, F.col(id_).cast("string"))
     rows = df.select(id_, group, stratum).withColumn("__k", key)
     first = rows.withColumn("__r", F.row_number().over(Window.partitionBy(group, stratum).orderBy("__k"))).withColumn("phase", F.when(F.col("__r") <= each, 1).otherwise(2))
-    # no more than total rows of a group can be chosen, strata first
+    # no stratum fills a group with more than total rows, so only so many of each meet in the group's window
+    first = first.where(F.col("__r") <= max(each, total))
     ranked = first.withColumn("__t", F.row_number().over(Window.partitionBy(group).orderBy("phase", "__k")))
     return ranked.where((F.col("phase") == 1) | (F.col("__t") <= total)).select(id_, group, stratum, "phase")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
 from ..operators.contracts import latest_by
-from ..operators.retrieval import top_k
+from ..operators.retrieval import earlier, jaccard_neighbours
 from . import query, read
 
 #: Token overlap from which a neighbour is flagged.
@@ -23,13 +23,10 @@ _NUMBER = "try_cast(regexp_extract(example_id, '(\\d+)$', 1) as bigint)"
 )
 def heldout_audit_flags(spark, d):
     """For every hundredth example the nearest prompt among earlier examples, flagged from an overlap on."""
-    c = read(spark, d, "candidates").where("user_prompt is not null").select("example_id", word_tokens(F.col("user_prompt")).alias("t")).distinct().withColumn("n", F.size("t"))
-    asked = c.where(F.regexp_extract("example_id", r"(\d+)$", 1).cast("long") % 100 == 0)
-    one = asked.select("example_id", F.col("n").alias("qn"), F.explode("t").alias("w"))
-    two = c.select(F.col("example_id").alias("nearest"), F.col("n").alias("cn"), F.explode("t").alias("w"))
-    met = one.join(two, "w").where("nearest < example_id").groupBy("example_id", "nearest").agg(F.count("*").alias("both"), F.first("qn").alias("qn"), F.first("cn").alias("cn"))
-    scored = met.select("example_id", "nearest", F.round(F.col("both") / (F.col("qn") + F.col("cn") - F.col("both")), 6).alias("score"))
-    return top_k(scored, ["example_id"], "score", "nearest", 1).drop("rank").withColumn("flagged", F.col("score") >= FLAG)
+    c = read(spark, d, "candidates").where("user_prompt is not null").select(F.col("example_id").alias("id"), F.col("user_prompt").alias("text")).distinct()
+    asked = c.where(F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 100 == 0).withColumnRenamed("id", "qid")
+    near = jaccard_neighbours(asked, c, word_tokens(F.col("text")), 1, eligible=earlier)
+    return near.select(F.col("qid").alias("example_id"), F.col("id").alias("nearest"), "score", (F.col("score") >= FLAG).alias("flagged"))
 
 
 @query(

@@ -111,26 +111,11 @@ _DRAWS = 200
 
 
 @query(
-    f"""with v as (select row_number() over (order by case_id) - 1 as i, cast(max(len(candidate_prompt)) as double) as y from contamination_calibration where candidate_prompt is not null and case_id <= 'cal-000000024' group by case_id), n as (select count(*) as n from v),
-    x as (select d, cast(('0x' || left(sha256(concat_ws('|', '20260715', cast(d as varchar), cast(s as varchar))), 15))::bigint % n as int) as i from range({_DRAWS}) a(d), range(25) b(s), n where s < n)
-    select d as draw, round(avg(y), 6) as mean from x join v using (i) group by d"""
+    f"""with v as (select case_id, cast(max(len(candidate_prompt)) as double) as y from contamination_calibration where candidate_prompt is not null and case_id is not null group by 1),
+    r as (select row_number() over (order by sha256(case_id), case_id) - 1 as i, y, count(*) over () as n from v), n as (select count(*) as n from v),
+    x as (select d, cast(('0x' || left(sha256(concat_ws('|', '20260715', cast(d as varchar), cast(s as varchar))), 15))::bigint % n as bigint) as i from range({_DRAWS}) a(d), n, unnest(range(n)) b(s))
+    select d as draw, round(avg(y), 6) as mean from x join r using (i) group by d"""
 )
-def paired_bootstrap_hash(spark, d):
-    """Two hundred resampled means over the held-out cases up to number 24, drawn by digests; a stated variant beside the standard generator's."""
-    cases = read(spark, d, "contamination_calibration").where("candidate_prompt is not null and case_id <= 'cal-000000024'")
-    v = cases.groupBy("case_id").agg(F.max(F.length("candidate_prompt")).cast("double").alias("y"))
-    # at most 25 held-out cases by their numbers
-    ordered = v.orderBy("case_id").collect()
-    n = len(ordered)
-    if not n:
-        return spark.createDataFrame([], "draw long, mean double")
-    values = F.array(*[F.lit(r["y"]) for r in ordered])
-    slots = spark.range(_DRAWS).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    drawn = slots.select("draw", F.get(values, S.resample_by_hash(n, _DRAWS, 20260715, F.col("draw"), F.col("slot"))).alias("y"))
-    return drawn.groupBy("draw").agg(F.round(F.avg("y"), 6).alias("mean"))
-
-
-@query()
 def paired_bootstrap_cases(spark, d):
     """Two hundred resampled means over all cases, numbered and drawn by digests."""
     cases = read(spark, d, "contamination_calibration").where("candidate_prompt is not null and case_id is not null")

@@ -86,20 +86,19 @@ def withheld_terms(spark, d):
 
 
 def response_view(r: Column) -> Column:
-    """A response as lines: title, measures, steps, garnish."""
-    amount = lambda a: F.regexp_replace(F.format_number(a, "#.######"), ",", "")
+    """A response as lines: title, measures joined by semicolons, steps, garnish; what is null is left out."""
+    amount = lambda a: F.regexp_replace(a.cast("string"), r"\.0$", "")
     parts = F.transform(r["ingredients"], lambda i: F.concat_ws(" ", amount(i["amount"]), i["unit"], i["name"]))
     return F.concat_ws("\n", r["title"], F.array_join(parts, "; "), F.array_join(r["method"], "\n"), r["garnish"])
 
 
 @query(
-    """with r as (select distinct example_id, assistant_response.title as title, array_to_string(assistant_response.method, chr(10)) as steps, assistant_response.garnish as garnish from candidates)
-    select example_id, sha256(concat_ws(chr(10), title, steps, garnish)) as view_sha256, len(concat_ws(chr(10), title, steps, garnish)) as characters from r"""
+    r"""with r as (select distinct example_id, concat_ws(chr(10), assistant_response.title, array_to_string(list_transform(assistant_response.ingredients, lambda i: concat_ws(' ', regexp_replace(cast(i.amount as varchar), '\.0$', ''), i.unit, i.name)), '; '), array_to_string(assistant_response.method, chr(10)), assistant_response.garnish) as v from candidates)
+    select example_id, sha256(v) as view_sha256, len(v) as characters from r"""
 )
 def response_text_view(spark, d):
-    """Digest and length of each response's text view (title, steps, garnish)."""
-    r = F.col("assistant_response")
-    view = F.concat_ws("\n", r["title"], F.array_join(r["method"], "\n"), r["garnish"])
+    """Digest and length of each response's text view."""
+    view = response_view(F.col("assistant_response"))
     return read(spark, d, "candidates").select("example_id", view.alias("v")).distinct().select("example_id", digest(F.col("v")).alias("view_sha256"), F.length("v").cast("long").alias("characters"))
 
 

@@ -28,11 +28,15 @@ def token_weighted_loss(spark, d):
 
 @query()
 def span_weights(spark, d):
-    """Characters of every example's steps that lie in ingredient names' spans, by weight, one character a token."""
-    r = read(spark, d, "candidates").select("example_id", F.col("assistant_response.method").alias("parts")).where("parts is not null").distinct()
+    """The weight of every example's answer, one character a token: its ingredient names and steps count double, title and garnish once."""
+    a = F.col("assistant_response")
+    names = F.transform(F.coalesce(a["ingredients"], F.array().cast("array<struct<amount:double,unit:string,name:string>>")), lambda i: F.coalesce(i["name"], F.lit("")))
+    content = F.concat(names, F.coalesce(a["method"], F.array().cast("array<string>")))
+    edge = lambda x: F.array(F.coalesce(x, F.lit("")))
+    r = read(spark, d, "candidates").select("example_id", F.concat(edge(a["title"]), content, edge(a["garnish"])).alias("parts")).where("parts is not null").distinct()
     spans = r.withColumn("spans", T.content_spans(F.col("parts")))
     tokens = F.transform(F.sequence(F.lit(0), F.greatest(F.length(F.array_join("parts", "")), F.lit(1)) - 1), lambda i: F.struct(i.alias("begin"), (i + 1).alias("end")))
-    weights = T.span_weights(tokens, F.slice("spans", 1, 1), 2.0, 1.0)
+    weights = T.span_weights(tokens, F.slice("spans", F.lit(2), F.size("spans") - 2), 2.0, 1.0)
     return spans.select("example_id", F.size("spans").alias("parts"), F.aggregate(weights, F.lit(0.0), lambda a, b: a + b).alias("weight"))
 
 

@@ -83,7 +83,9 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def tree_digest(spark: SparkSession, path: str) -> DataFrame:
-    """``files, bytes, sha256`` of a folder: the digest of its files' sorted names, sizes and digests."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("d"))
+    """``files, bytes, sha256`` of a folder: the digest of its files' sorted paths inside it, sizes and digests."""
+    root = path.rstrip("/").split("://")[-1].split("file:")[-1]
+    name = F.substring_index("path", root.rstrip("/") + "/", -1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(name.alias("name"), "length", F.sha2("content", 256).alias("d"))
     line = F.concat_ws(" ", "name", F.col("length").cast("string"), "d")
     return files.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha256"))
