@@ -11,10 +11,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where the setting is absent, as in tests, a temporary one of our own."""
+    """The folder in spark.checkpoint.dir; where the setting is absent, as in tests, a temporary one of our own, but never on a cluster."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="lathework-shared-"))
     return folder.rstrip("/")
 

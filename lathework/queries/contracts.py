@@ -182,6 +182,17 @@ def strict_json_validation(spark, d):
     return _checked(spark, d).select("blind_id", "json_valid", "schema_valid", F.array_join("failure_labels", ",").alias("labels"), "characters", "ingredients", "method_steps")
 
 
+@query(
+    """with p as (select distinct blind_id, candidate_response as r from packets), j as (select blind_id, r, coalesce(json_valid(r) and not regexp_matches(r, ',\\s*[]}]'), false) as json_valid from p),
+    o as (select *, case when json_valid then json(r) end as j from j)
+    select blind_id, json_valid, len(r) as characters, case when json_type(j, '$.ingredients') = 'ARRAY' then cast(json_array_length(j, '$.ingredients') as int) end as ingredients,
+    case when json_type(j, '$.method') = 'ARRAY' then cast(json_array_length(j, '$.method') as int) end as method_steps from o"""
+)
+def response_shapes(spark, d):
+    """Whether each response is strict JSON, and how many ingredients and steps it lists."""
+    return _checked(spark, d).select("blind_id", "json_valid", "characters", "ingredients", "method_steps")
+
+
 @query()
 def structural_report(spark, d):
     """Strict and contract validity and label counts by source."""
@@ -190,7 +201,13 @@ def structural_report(spark, d):
     return rows.withColumn("labels", F.to_json("labels"))
 
 
-@query()
+@query(
+    """with recursive s as (select batch_id, slot_id, min(example_id) as content from production_matrix where batch_id is not null and slot_id is not null group by 1, 2),
+    o as (select *, row_number() over (partition by batch_id order by slot_id) as r from s),
+    c as (select batch_id, slot_id, content, r, repeat('0', 64) as previous_sha256, sha256(repeat('0', 64) || '|' || coalesce(content, '')) as entry_sha256 from o where r = 1
+        union all select o.batch_id, o.slot_id, o.content, o.r, c.entry_sha256, sha256(c.entry_sha256 || '|' || coalesce(o.content, '')) from c join o on o.batch_id = c.batch_id and o.r = c.r + 1)
+    select batch_id, slot_id, content, previous_sha256, entry_sha256 from c"""
+)
 def ledger_chain(spark, d):
     """A hash chain over the slots of every batch of the production matrix."""
     slots = read(spark, d, "production_matrix").where("slot_id is not null and batch_id is not null").groupBy("batch_id", "slot_id").agg(F.min("example_id").alias("content"))

@@ -26,7 +26,11 @@ def token_weighted_loss(spark, d):
     return read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(T.token_weighted_mean(F.col("l_extendedprice"), F.col("l_quantity")), 6).alias("mean_loss"))
 
 
-@query()
+@query(
+    """with a as (select distinct example_id, assistant_response as r from candidates)
+    select example_id, cast(2 + coalesce(len(r.ingredients), 0) + coalesce(len(r.method), 0) as int) as parts,
+    cast(coalesce(len(r.title), 0) + coalesce(len(r.garnish), 0) + 2 * (coalesce(list_sum(list_transform(r.ingredients, lambda x: coalesce(len(x.name), 0))), 0) + coalesce(list_sum(list_transform(r.method, lambda x: coalesce(len(x), 0))), 0)) as double) as weight from a"""
+)
 def span_weights(spark, d):
     """The weight of every example's answer, one character a token: its ingredient names and steps count double, title and garnish once."""
     a = F.col("assistant_response")
@@ -40,7 +44,11 @@ def span_weights(spark, d):
     return spans.select("example_id", F.size("spans").alias("parts"), F.aggregate(weights, F.lit(0.0), lambda a, b: a + b).alias("weight"))
 
 
-@query()
+@query(
+    """with c as (select distinct example_id, user_prompt as p from candidates where lower(trim(split)) = 'train' and user_prompt is not null),
+    k as (select example_id, len(string_split(p, ' ')) as n, cast(floor((row_number() over (order by sha256(concat_ws('|', 'batch-v1', '7', example_id)), example_id) - 1) / 8) as bigint) as batch from c)
+    select example_id, batch, cast(max(n) over (partition by batch) as int) as width, cast(n - least(n, 3) as int) as active from k"""
+)
 def padded_batches(spark, d):
     """Batches of eight of the train prompts' characters as ids: widths and active labels."""
     c = read(spark, d, "candidates").where(F.lower(F.trim("split")) == "train").select("example_id", "user_prompt").where("user_prompt is not null").distinct()
