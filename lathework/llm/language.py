@@ -114,7 +114,7 @@ class Model:
 
 
 def _letters(word: bytes) -> tuple[list[int], list[int]]:
-    padded = b"\x01\x01\x01" + word[:40] + b"\x02"
+    padded = b"\x01\x01\x01" + word + b"\x02"
     grams = [hash_bytes(padded[i : i + ORDER]) for i in range(len(padded) - ORDER + 1)]
     return grams, [hash_bytes(padded[i : i + ORDER - 1] + b"\x03\x04") for i in range(len(padded) - ORDER + 1)]
 
@@ -240,9 +240,12 @@ def decide(score: np.ndarray, doc: np.ndarray, n_docs: int, words: np.ndarray, p
 
 
 def _sample(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled texts of each language, those with the smallest hashes of id."""
+    """At most ``per_language`` labelled texts of each language, those with the smallest hashes of id.
+
+    Every label that names a language takes part, however rare; there are no more than two-letter codes.
+    """
     labelled = docs.where("text is not null and code is not null and id is not null").select("code", "id", "text")
-    counts = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(64).collect()}
+    counts = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
