@@ -3,7 +3,8 @@
 Items are dealt by hash into groups of bounded size. In each, bins are filled best fit, largest item first; then bins
 with room exchange items, one for one or two for one, or hand one over, whenever that raises the sum of squared fills,
 so that fuller bins fill up and the emptiest bins empty. What is left in bins that still have room is dealt anew into
-fewer groups, until one group remains: so each round hands on only the few bins its groups could not fill.
+fewer groups, until one group remains, so that each round hands on only the bins its groups could not fill; or until a
+round no longer lowers their number, when the emptiest are searched once more together.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 from bisect import bisect_right, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import Cuts
 
 #: Bins that give in one pass of the search, and passes at most.
 DONORS, PASSES = 24, 40
+#: A round that lowers a kind's open bins by less than this share is its last but one.
+STALL = 0.02
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -159,23 +162,40 @@ def pack(sizes: DataFrame, capacities: DataFrame, group: int = 4000) -> DataFram
                 name[i], room[i] = f"{key[0]}/{key[2]}-{key[1]}-{n}", left
         return frame.assign(container=name, room=room)[["kind", "capacity", "container", "id", "piece", "size", "room"]]
 
-    n, round_ = rest.groupBy("kind").count().agg(F.max("count")).first()[0] or 0, 0
-    while n:
-        groups = max(1, -(-n // group))
-        dealt = rest.withColumns({"g": F.pmod(F.xxhash64("id", "piece", F.lit(round_)), F.lit(groups)).cast("int"), "r": F.lit(round_)})
+    # a row for each kind, and kinds are few
+    left = {r["kind"]: r["n"] for r in rest.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    bins, round_ = {}, 0
+    while left:
+        groups = F.create_map(*[x for k, n in left.items() for x in (F.lit(k), F.lit(max(1, -(-n // group))))])
+        dealt = rest.withColumn("r", F.lit(round_)).withColumn("g", F.pmod(F.xxhash64("id", "piece", F.lit(round_)), groups[F.col("kind")]).cast("int"))
         packed = cuts.cut(dealt.groupBy("kind", "g", "r").applyInPandas(fill, schema))
-        if groups == 1:
-            return done.unionByName(packed.select(*columns))
-        done = done.unionByName(packed.where("room = 0").select(*columns))
-        rest = packed.where("room > 0").select("kind", "capacity", "id", "piece", "size")
-        left = rest.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
-        # a round that fills hardly a bin is the last but one: larger groups would not help its items
-        if left > 0.9 * n:
-            return done.unionByName(packed.where("room > 0").select(*columns))
-        n, round_ = left, round_ + 1
+        single = [k for k, n in left.items() if n <= group]
+        open_ = packed.where((F.col("room") > 0) & ~F.col("kind").isin(single))
+        done = done.unionByName(packed.where((F.col("room") == 0) | F.col("kind").isin(single)).select(*columns))
+        now = {r["kind"]: r for r in open_.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("container").alias("bins")).collect()}
+        # a kind whose open bins a round hardly lowers is packed once more, its emptiest bins together, and ends
+        stuck = [k for k, r in now.items() if k in bins and r["bins"] > bins[k] * (1 - STALL)]
+        if stuck:
+            done = done.unionByName(_emptiest(cuts, open_.where(F.col("kind").isin(stuck)), group, fill, schema, columns))
+        rest = open_.where(~F.col("kind").isin(stuck)).select("kind", "capacity", "id", "piece", "size")
+        left = {k: r["n"] for k, r in now.items() if k not in stuck}
+        bins = {k: now[k]["bins"] for k in left}
+        round_ += 1
     return done
 
 
+def _emptiest(cuts: Cuts, open_: DataFrame, group: int, fill, schema: str, columns: list[str]) -> DataFrame:
+    """The open bins, of each kind the emptiest, with ``group`` pieces in all, packed anew together."""
+    per = open_.groupBy("kind", "container").agg(F.sum("size").alias("held"), F.count("*").alias("pieces"))
+    # every bin has a piece at least, so no more than ``group`` bins of a kind can take part
+    first = per.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("held", "container"))).where(F.col("k") <= group)
+    taken = first.withColumn("upto", F.sum("pieces").over(Window.partitionBy("kind").orderBy("k"))).where(F.col("upto") <= group).select("kind", "container")
+    rows = open_.join(taken.withColumn("again", F.lit(True)), ["kind", "container"], "left")
+    again = rows.where("again").select("kind", "capacity", "id", "piece", "size").withColumns({"g": F.lit(-1), "r": F.lit(-1)})
+    packed = cuts.cut(again.groupBy("kind", "g", "r").applyInPandas(fill, schema))
+    return rows.where("again is null").select(*columns).unionByName(packed.select(*columns))
+
+
 def packing_report(packed: DataFrame) -> DataFrame:
     """``kind, capacity, containers, tokens, least, fill``: least is the number no packing can undercut, fill the share of room used."""
     per = packed.where("container is not null").groupBy("kind", "capacity").agg(F.countDistinct("container").alias("containers"), F.sum("size").alias("tokens"))
