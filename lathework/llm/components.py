@@ -9,40 +9,46 @@ from ..plans.materialize import Cuts
 from ..plans.skew import join_hot
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``node, component`` for every node of ``edges`` (``u, v``: 64-bit ids); component is the smallest node of its part.
 
     Nulls and loops are ignored, though a node of a loop alone is its own component. In each round every node hands its
     larger neighbours to its smallest one (large star), then its smaller ones (small star); edges never grow in number,
     and the rounds needed grow with the logarithm of the longest path. A node with a large part of all edges is split
-    over tasks by join_hot. Each round is a checkpoint in the shared folder.
+    over tasks by join_hot. Each round is a table in the shared folder. Rounds end when every edge leads to the smallest
+    node of its part; that ``max_rounds`` rounds don't get there is an error.
     """
     edges = edges.where("u is not null and v is not null").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     cuts = Cuts(edges.sparkSession)
-    edges = cuts.cut(edges)
+    edges = cuts.cut(edges.distinct())
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     e = cuts.cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    n = e.count()
     for _ in range(max_rounds):
-        e = cuts.cut(_star(cuts.cut(_star(e, large=True)), large=False))
-        # an order-free digest of the edge set, as sums of 32-bit halves so that nothing overflows
-        h = F.xxhash64("u", "v")
-        state = tuple(e.select(F.count("*").alias("n"), F.sum(F.expr("cast(u & 4294967295 as decimal(20,0))")).alias("a"), F.sum(h.cast("decimal(20,0)")).alias("b")).first())
+        if not n:
+            break
+        large = cuts.cut(_star(e, n, large=True))
+        e = cuts.cut(_star(large, n, large=False))
+        # done when no node is both somebody's smaller end and has a smaller one itself, and none has two
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        n, open_ = per.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
         # each round reads only the one before
         cuts.drop(1, keep=1)
-        if state == before:
+        if not open_:
             break
-        before = state
-    found = e.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _star(e: DataFrame, large: bool) -> DataFrame:
+def _star(e: DataFrame, n: int, large: bool) -> DataFrame:
+    """One step over e (u > v, n edges)."""
     both = e if not large else e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("u", "m"))
-    joined = join_hot(both, least, "u", "degree", max(1, e.count()))
+    joined = join_hot(both, least, "u", "degree", n)
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+        moved = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return moved.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
