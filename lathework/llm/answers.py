@@ -89,7 +89,14 @@ def ends_open(text: str) -> bool:
 
 
 def final_word(text: str) -> str:
-    w = words(text[-80:])
+    """The last word of a text, however far from its end."""
+    end = len(text)
+    while end and not text[end - 1].isalnum():
+        end -= 1
+    start = end
+    while start and text[start - 1].isalnum():
+        start -= 1
+    w = words(text[start:end])
     return w[-1] if w else ""
 
 
@@ -149,7 +156,14 @@ _NAMES = {n: l for l, ns in LANGUAGE_NAMES.items() for n in ns.split()}
 _ASK = re.compile(
     r"\b(?:answer|reply|respond|write|say|explain|translate|antworte|antworten sie|schreib\w*|réponds|répondez|écris|écrivez|responde|responda|conteste|contesta|escribe|escriba|escreva|escreve|antwoord|schrijf|rispondi|scrivi)\b[^.!?;\n]{0,24}?\b(?:in|auf|en|em|in het|au|into)\s+(?:the\s+)?(" + "|".join(sorted(_NAMES, key=len, reverse=True)) + r")\b"
 )
-_SCRIPTS = {"LATIN": re.compile(r"[A-Za-zÀ-ɏ]"), "OTHER": re.compile(r"[Ͱ-῿぀-ヿ㐀-鿿가-힯ऀ-෿]")}
+# Letters of each script, as ranges of characters.
+SCRIPTS = {
+    "latin": "A-Za-zÀ-ɏḀ-ỿ", "greek": "Ͱ-Ͽἀ-῿", "cyrillic": "Ѐ-ԯ", "armenian": "Ա-֏", "hebrew": "א-״", "arabic": "ء-ۿݐ-ݿ", "devanagari": "ऄ-ॿ", "bengali": "ঀ-৿",
+    "tamil": "ஂ-௿", "thai": "ก-๛", "georgian": "Ⴀ-ჿ", "kana": "ぁ-ヿ", "han": "㐀-䶿一-鿿", "hangul": "ᄀ-ᇿ가-힣",
+}
+_LETTERS = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
+#: Fewer letters than this don't show a script; signs that stand for words or syllables count threefold.
+_LEAST, _HEAVY = 10, {"kana": 3, "han": 3, "hangul": 3}
 
 
 def asked_language(prompt: str) -> str | None:
@@ -159,7 +173,7 @@ def asked_language(prompt: str) -> str | None:
 
 
 def language(ws: list[str]) -> tuple[str | None, float]:
-    """The language whose function words weigh most, each shared among the languages that have it; and its margin over the next, per word."""
+    """The language whose function words weigh most, each shared among the languages that have it; and its lead over the next, in words."""
     score: dict[str, float] = {}
     for w in ws:
         ls = _WORD_LANGUAGES.get(w)
@@ -169,12 +183,15 @@ def language(ws: list[str]) -> tuple[str | None, float]:
     if not score:
         return None, 0.0
     ranked = sorted(score.items(), key=lambda x: (-x[1], x[0]))
-    return ranked[0][0], (ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0)) / len(ws)
+    return ranked[0][0], ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0)
 
 
-def other_script(text: str) -> bool:
-    """Whether most letters of a text are of no Latin script."""
+def script(text: str) -> str | None:
+    """The script most letters of a text are in; None where there are too few. Kana among Chinese characters make them Japanese."""
     if text.isascii():
-        return False
-    other = len(_SCRIPTS["OTHER"].findall(text))
-    return other > 10 and other > len(_SCRIPTS["LATIN"].findall(text))
+        return "latin" if sum(map(str.isalpha, text)) >= _LEAST else None
+    held = {k: len(r.findall(text)) * _HEAVY.get(k, 1) for k, r in _LETTERS.items()}
+    if held["kana"] * 4 >= held["han"]:
+        held["kana"], held["han"] = held["kana"] + held["han"] if held["kana"] else 0, held["han"] if not held["kana"] else 0
+    most = max(held, key=held.get)
+    return most if held[most] >= _LEAST else None

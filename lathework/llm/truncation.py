@@ -2,8 +2,9 @@
 
 Of every text, and of every string value inside it, the length and the way it ends are noted. Where far more texts of a
 source end open at one length than the neighbouring lengths' hazards let expect, with the false discoveries among all
-lengths controlled, that length is a limit, and open endings there are cuts. Away from limits only what can't be sound
-counts: a structure that never closes, prose that stops inside a sentence, or a mark left by a broken transfer.
+lengths controlled, that length is a limit, and open endings there are cuts. A cut in transfer falls on any length, which
+no hazard shows; so away from limits what can't be sound counts: a structure that never closes, prose that stops inside a
+sentence, or a mark left by a broken transfer. Every cut carries the evidence it was found by.
 """
 
 from __future__ import annotations
@@ -11,25 +12,24 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import cut
-from .answers import dissect, ends_open, final_word, is_item, last_line, says_nothing
-from .pair_defects import copies
+from .answers import Answer, dissect, ends_open, final_word, is_item, last_line, says_nothing
+from .pair_defects import copies, defects
 from .text import words
 
 WHOLE = "text"
-_SCHEMA = "id string, source string, broken boolean, ends array<struct<kind string, length int, open boolean, last string, apart boolean, value long>>"
+_SCHEMA = "id string, source string, length int, broken boolean, defects array<string>, ends array<struct<kind string, length int, open boolean, last string, apart boolean, value long>>"
 
 
-def endings(prompt: str | None, text: str) -> tuple[bool, list[tuple]]:
+def endings(prompt: str | None, text: str, a: Answer | None = None) -> tuple[bool, list[tuple]]:
     """(broken, ends): whether the text can't be whole, and kind, length, openness, last word, setting and value's hash of each ending.
 
     ``apart``: nothing beside the ending says how such texts end here. Else its siblings do, by final punctuation.
     """
-    a = dissect(text)
+    a = a or dissect(text)
     body = text.rstrip()
     if not body or says_nothing(a):
         return False, []
@@ -91,38 +91,64 @@ def limits(ends: DataFrame, reach: int = 5, least_ratio: float = 3.0, rate: floa
     return ranked.withColumn("cutoff", cutoff).where((F.col("p") <= F.col("cutoff")) & (F.col("stops") >= least_ratio * F.col("expected"))).select("source", "kind", "length", "stops", "expected", "p")
 
 
-def truncated(texts: DataFrame, known: int = 3) -> DataFrame:
-    """``id`` of the texts that were cut.
+def examined(texts: DataFrame, rules: bool = True) -> DataFrame:
+    """``id, source, length, broken, defects, ends`` of every row with an id, from one reading of each answer: what endings() and, with ``rules``, pair_defects.defects() say.
 
-    texts: ``id, source, prompt, text``; further columns are ignored. Null ids and texts and texts that say nothing are
-    not cut; texts without a source go by the limits over all; repeated rows count once; an empty table gives none. An open
-    ending at a limit is a cut unless nothing in the text shows how its kind ends and either its last word ends at least
-    ``known`` texts of the kind at other lengths, or the same value ends so many there and a fiftieth of all that end
-    open there, as the few values of an enumeration do.
+    texts: ``id, source, prompt, text``; further columns are ignored. The rows are written to the shared folder.
     """
 
     def scan(batches):
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("length", pa.int32()), ("open", pa.bool_()), ("last", pa.string()), ("apart", pa.bool_()), ("value", pa.int64())]))
+        names = ("kind", "length", "open", "last", "apart", "value")
         for batch in batches:
             rows = batch.to_pydict()
-            out = [endings(p, t) for p, t in zip(rows["prompt"], rows["text"])]
-            ends = [[dict(zip(("kind", "length", "open", "last", "apart", "value"), e)) for e in x] for _, x in out]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("length", pa.int32()), ("open", pa.bool_()), ("last", pa.string()), ("apart", pa.bool_()), ("value", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.string()), pa.array(rows["source"], pa.string()), pa.array([b for b, _ in out]), pa.array(ends, kind)], ["id", "source", "broken", "ends"])
-
-    rows = texts.where("id is not null and text is not null").select("id", "source", "prompt", "text")
-    seen = rows.mapInArrow(scan, _SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+            broken, ends, found = [], [], []
+            for p, t in zip(rows["prompt"], rows["text"]):
+                a = None if t is None else dissect(t)
+                b, e = (False, []) if t is None else endings(p, t, a)
+                broken.append(b)
+                ends.append([dict(zip(names, x)) for x in e])
+                found.append(defects(p, t, a) if rules else [])
+            length = [None if t is None else len(t) for t in rows["text"]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows["id"], pa.string()), pa.array(rows["source"], pa.string()), pa.array(length, pa.int32()), pa.array(broken, pa.bool_()), pa.array(found, pa.list_(pa.string())), pa.array(ends, kind)],
+                ["id", "source", "length", "broken", "defects", "ends"],
+            )
+
+    return cut(texts.where("id is not null").select("id", "source", "prompt", "text").mapInArrow(scan, _SCHEMA))
+
+
+def cuts(seen: DataFrame, known: int = 3) -> DataFrame:
+    """``id, path, kind, length, p`` of every cut in the rows of examined().
+
+    path ``limit``: an open ending of the kind at a length whose hazard is significant, p its tail. path ``transfer``: a
+    text that can't be whole, of its length, without p; such texts at a limit have both rows. An open ending at a limit is
+    a cut unless nothing in the text shows how its kind ends and either its last word ends at least ``known`` texts of the
+    kind at other lengths, or the same value ends so many there and a fiftieth of all that end open there, as the few
+    values of an enumeration do.
+    """
     ends = seen.select("id", "source", F.explode("ends").alias("e")).select("id", "source", "e.*")
-    found = cut(limits(ends.select("id", "source", "kind", "length", "open").drop("id")))
-    at = ends.where("open").join(found.select(F.col("source").alias("s"), F.col("kind").alias("k"), F.col("length").alias("l")).distinct(), F.expr("kind = k and length = l and s <=> source"))
-    at = at.select("id", "kind", "length", "last", "apart", "value").distinct()
+    found = cut(limits(ends.select("source", "kind", "length", "open")))
+    at = ends.where("open").join(found.select(F.col("source").alias("s"), F.col("kind").alias("k"), F.col("length").alias("l"), "p"), F.expr("kind = k and length = l and s <=> source"))
+    at = at.groupBy("id", "kind", "length", "last", "apart", "value").agg(F.min("p").alias("p"))
     places = found.select("kind", "length").distinct().withColumn("limit", F.lit(True))
     elsewhere = ends.join(places, ["kind", "length"], "left").where("limit is null")
     finals = elsewhere.groupBy("kind", "last").agg(F.count("*").alias("n")).where(F.col("n") >= known).select("kind", "last")
     per = at.groupBy("kind", "length", "value").agg(F.count("*").alias("n"))
     common = per.withColumn("all", F.sum("n").over(Window.partitionBy("kind", "length"))).where((F.col("n") >= known) & (F.col("n") * 50 >= F.col("all"))).select("kind", "length", "value")
     apart = at.where("apart").join(finals, ["kind", "last"], "left_anti").join(common, ["kind", "length", "value"], "left_anti")
-    unknown = at.where("not apart").unionByName(apart)
-    return seen.where("broken").select("id").unionByName(unknown.select("id")).distinct()
+    limited = at.where("not apart").unionByName(apart.select(*at.columns)).select("id", F.lit("limit").alias("path"), "kind", "length", "p")
+    broken = seen.where("broken").select("id", F.lit("transfer").alias("path"), F.lit(WHOLE).alias("kind"), "length", F.lit(None).cast("double").alias("p"))
+    return limited.unionByName(broken).distinct()
+
+
+def truncated(texts: DataFrame, known: int = 3) -> DataFrame:
+    """``id`` of the texts that were cut; see cuts().
+
+    texts: ``id, source, prompt, text``; further columns are ignored. Null ids and texts and texts that say nothing are
+    not cut; texts without a source go by the limits over all; repeated rows count once; an empty table gives none.
+    """
+    return cuts(examined(texts, rules=False), known).select("id").distinct()
 
 
 def truncation_rates(texts: DataFrame, ids: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@ import random
 
 import pytest
 
-from lathework.llm.answers import asked_language, dissect, ends_open, says_nothing
+from lathework.llm.answers import asked_language, dissect, ends_open, final_word, says_nothing, script
 from lathework.llm.pair_defects import defects, pair_defects
-from lathework.llm.truncation import endings, limits, truncated, truncation_rates
+from lathework.llm.truncation import cuts, endings, examined, limits, truncated, truncation_rates
 
 RECIPE = {
     "title": "The Quiet Hour",
@@ -60,6 +60,39 @@ def test_copies_and_languages():
     assert defects(PROMPT, "Смешайте план с календарём, пока он не станет ясным, и подайте его у окна.") == ["other_language"]
 
 
+def test_scripts_are_told_apart_pairwise():
+    russian = "Смешайте план с календарём, пока он не станет ясным, и подайте его у окна."
+    chinese = "把计划和日历一起搅拌，直到它变得清楚，然后在窗边端上来。"
+    japanese = "計画をカレンダーと混ぜて、はっきりするまで待ってください。"
+    assert [script(t) for t in (russian, chinese, japanese, PROMPT, "Ελάτε να πιούμε καφέ", "42")] == ["cyrillic", "han", "kana", "latin", "greek", None]
+    for own, other in ((russian, chinese), (chinese, japanese), (japanese, russian), (russian, PROMPT), (PROMPT, chinese)):
+        assert "other_language" in defects(own, other)
+    for own in (russian, chinese, japanese):
+        assert "other_language" not in defects(own + own, own)
+
+
+@pytest.mark.parametrize(
+    "refusal",
+    ["Mi dispiace, ma non posso aiutarti con questo.", "Przepraszam, nie mogę pomóc w tej sprawie.", "Tyvärr kan jag inte hjälpa dig med det.", "Beklager, det kan jeg desværre ikke hjælpe med."],
+)
+def test_refusals_in_every_language_that_is_told_apart(refusal):
+    assert "refusal" in defects(PROMPT, refusal)
+
+
+def test_short_answers_show_their_language_by_their_words():
+    assert defects(PROMPT, "Das ist nicht gut und wird auch nicht besser.") == ["other_language"]
+    assert defects(PROMPT, "Ice and lime.") == []
+
+
+def test_every_cut_has_its_evidence(spark):
+    rows = packets(spark) + [("half", "a", PROMPT, json.dumps(RECIPE)[:90], "")]
+    df = spark.createDataFrame(rows, "id string, source string, prompt string, text string, clash string")
+    got = [tuple(r) for r in cuts(examined(df)).collect()]
+    assert {(p, k, n) for i, p, k, n, _ in got if i.startswith("cut")} == {("limit", "method", 100)} and all(p < 0.01 for i, *_, p in got if i != "half")
+    assert [x for x in got if x[0] == "half"] == [("half", "transfer", "text", 90, None)]
+    assert final_word("word " + "." * 500) == "word" and final_word("...") == ""
+
+
 def test_cuts_are_seen_in_structure_prose_and_transfer():
     whole = json.dumps(RECIPE, indent=2)
     for at in range(5, len(whole) - 3, 17):
