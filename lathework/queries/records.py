@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.prompts import assembled, local_seed
@@ -357,3 +358,110 @@ def lexical_token_ratio_top5(spark, d):
     q = read(spark, d, "contamination_calibration").where("candidate_prompt is not null").select(F.col("case_id").alias("qid"), normalize(F.col("candidate_prompt")).alias("text")).distinct()
     c = read(spark, d, "candidates").where("user_prompt is not null").select(F.col("example_id").alias("id"), normalize(F.col("user_prompt")).alias("text")).distinct()
     return N.lexical_neighbours(q.where(_number("qid") % 100 == 0), c, 5)
+
+
+@query(
+    f"""with s as (select metadata.intent_family as family, lower(trim(split)) as split, pilot_member from {_LATEST.format('candidates', 'example_id')})
+    select coalesce(family, 'all') as family, count(*) filter (where split = 'train') as train, count(*) filter (where split = 'validation') as validation, count(*) filter (where pilot_member) as pilot,
+    round(count(*) filter (where split = 'validation') - 0.2 * count(*) filter (where split in ('train', 'validation')), 6) as deviation from s where family is not null group by rollup (family)"""
+)
+def allocation_matrix(spark, d):
+    """Examples of each family and of all by split, and how far validation is from a fifth of the allocated."""
+    rows = _latest(spark, d, "candidates", "example_id").select(F.col("metadata.intent_family").alias("family"), F.lower(F.trim("split")).alias("split"), "pilot_member").where("family is not null")
+    n = lambda c: F.count_if(c)
+    placed = F.col("split").isin("train", "validation")
+    per = rows.rollup("family").agg(n(F.col("split") == "train").alias("train"), n(F.col("split") == "validation").alias("validation"), n(F.col("pilot_member")).alias("pilot"), F.round(n(F.col("split") == "validation") - 0.2 * n(placed), 6).alias("deviation"))
+    return per.withColumn("family", F.coalesce("family", F.lit("all")))
+
+
+@query(
+    f"""select metadata.intent_family as family, count(*) as pilot, count(distinct metadata.complexity) >= 2 as complexities, count(distinct metadata.input_form) >= 2 as forms, count(distinct metadata.coverage_slice) >= 2 as slices, coalesce(bool_or(metadata.constraint_bearing), false) as constrained
+    from {_LATEST.format('candidates', 'example_id')} where pilot_member and metadata.intent_family is not null group by 1"""
+)
+def pilot_gate(spark, d):
+    """Whether each family's pilot has both complexities, two forms, two slices and a constraint."""
+    rows = _latest(spark, d, "candidates", "example_id").where("pilot_member and metadata.intent_family is not null").select("metadata.*")
+    two = lambda c: F.countDistinct(c) >= 2
+    return rows.groupBy(F.col("intent_family").alias("family")).agg(
+        F.count("*").alias("pilot"), two("complexity").alias("complexities"), two("input_form").alias("forms"), two("coverage_slice").alias("slices"), F.coalesce(F.bool_or("constraint_bearing"), F.lit(False)).alias("constrained")
+    )
+
+
+@query(
+    """with s as (select example_id, slot_id, scenario_id, lag(slot_id) over w as prior from (select distinct example_id, slot_id, scenario_id, planned_at from production_matrix where example_id is not null and slot_id is not null and planned_at is not null) window w as (partition by example_id order by planned_at, slot_id, scenario_id)),
+    h as (select slot_id as prior, min(scenario_id) as scenario from s group by 1), c as (select prior, count(*) as n from s where prior is not null group by 1)
+    select slot_id, case when s.prior = slot_id then 'itself' when scenario is distinct from scenario_id then 'other target' when n > 1 then 'shared' end as problem from s join h on h.prior = s.prior join c on c.prior = s.prior where s.prior = slot_id or scenario is distinct from scenario_id or n > 1"""
+)
+def replanned_slots(spark, d):
+    """Slots that plan an example again, under another scenario than the plan before."""
+    w = Window.partitionBy("example_id").orderBy("planned_at", "slot_id", "scenario_id")
+    rows = read(spark, d, "production_matrix").where("example_id is not null and slot_id is not null and planned_at is not null").select("example_id", "slot_id", "scenario_id", "planned_at").distinct()
+    s = rows.withColumn("prior", F.lag("slot_id").over(w)).select("slot_id", "scenario_id", "prior")
+    return C.linked_chain(s, "slot_id", "prior", "scenario_id").withColumnRenamed("id", "slot_id")
+
+
+# What each system has seen besides the prompt.
+_EXPOSURE = {"A": "none", "B": "worked_examples", "C": "training", "D": "worked_examples,training"}
+
+
+@query(
+    f"""with e(system_id, exposure) as (values {', '.join(f"('{k}', '{v}')" for k, v in _EXPOSURE.items())}), m as (select distinct blind_id, system_id from identity_mapping)
+    select coalesce(exposure, 'unknown') as exposure, count(*) as attempts, count(*) filter (where full_qualitative_pass) as passes from m left join e using (system_id) left join scores using (blind_id) group by 1"""
+)
+def exposure_passes(spark, d):
+    """Scored attempts and passes by what their system had seen."""
+    e = spark.createDataFrame(list(_EXPOSURE.items()), "system_id string, exposure string")
+    m = read(spark, d, "identity_mapping").select("blind_id", "system_id").distinct()
+    rows = m.join(F.broadcast(e), "system_id", "left").join(read(spark, d, "scores").select("blind_id", "full_qualitative_pass"), "blind_id", "left")
+    return rows.groupBy(F.coalesce("exposure", F.lit("unknown")).alias("exposure")).agg(F.count("*").alias("attempts"), F.count_if("full_qualitative_pass").alias("passes"))
+
+
+_LIMIT = 160
+
+
+@query(
+    f"""select case when candidate_response is null then 'generation_error' when len(regexp_extract_all(user_prompt, '[^ \\t\\n\\r]+')) + len(regexp_extract_all(candidate_response, '[^ \\t\\n\\r]+')) > {_LIMIT} then 'input_context_exceeded' else 'success' end as status,
+    count(*) as attempts from (select distinct blind_id, user_prompt, candidate_response from packets) group by 1"""
+)
+def generation_status(spark, d):
+    """Attempts by status, under a context of so many words for prompt and answer."""
+    p = read(spark, d, "packets").select("blind_id", "user_prompt", "candidate_response").distinct()
+    words = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"[^ \t\n\r]+"), 0))
+    status = F.when(F.col("candidate_response").isNull(), "generation_error").when(words("user_prompt") + words("candidate_response") > _LIMIT, "input_context_exceeded").otherwise("success")
+    return p.groupBy(status.alias("status")).agg(F.count("*").alias("attempts"))
+
+
+@query(
+    """with c as (select distinct example_id, scenario_id, lower(trim(split)) as split, user_prompt as p, array_to_string(assistant_response.method, ' ') as a from candidates where lower(trim(split)) in ('train', 'validation')),
+    w as (select *, len(regexp_extract_all(p, '[^ \\t\\n\\r]+')) as pw, len(regexp_extract_all(a, '[^ \\t\\n\\r]+')) as aw, scenario_id in (select scenario_id from c group by 1 having count(distinct split) > 1 and scenario_id is not null) as leaks from c)
+    select split, count(*) as examples, min(pw + aw) as least, max(pw + aw) as most, cast(sum(pw + aw) as bigint) as words, count(*) filter (where leaks) as leaking from w group by 1"""
+)
+def training_evidence(spark, d):
+    """Examples, words and their range by split, and how many share a scenario with the other split."""
+    split = F.lower(F.trim("split"))
+    c = read(spark, d, "candidates").where(split.isin("train", "validation")).select("example_id", "scenario_id", split.alias("split"), F.col("user_prompt").alias("p"), F.array_join("assistant_response.method", " ").alias("a")).distinct()
+    words = lambda x: F.size(F.regexp_extract_all(x, F.lit(r"[^ \t\n\r]+"), 0)).cast("long")
+    both = c.where("scenario_id is not null").groupBy("scenario_id").agg((F.countDistinct("split") > 1).alias("leaks"))
+    known = lambda x: F.when(F.col(x).isNotNull(), words(x))
+    rows = c.join(both, "scenario_id", "left").select("split", (known("p") + known("a")).alias("w"), "leaks")
+    return rows.groupBy("split").agg(F.count("*").alias("examples"), F.min("w").alias("least"), F.max("w").alias("most"), F.sum("w").alias("words"), F.count_if("leaks").alias("leaking"))
+
+
+@query(
+    f"""with m as (select blind_id, min(system_id) as s, min(attempt_index) as i from identity_mapping group by 1), p as (select distinct p.blind_id as id, s, i, {_TOKENS.format('candidate_response')} as t from packets p join m on m.blind_id = p.blind_id where candidate_response is not null),
+    q as (select id as qid, s, t from p where i % 100 = 0),
+    c as (select 'examples' as collection, example_id as id, null as s, {_TOKENS.format("array_to_string(assistant_response.method, ' ')")} as t from (select distinct example_id, assistant_response from candidates) union all select 'same_system', id, s, t from p),
+    x as (select qid, collection, id, len(list_intersect(q.t, c.t)) as shared, round(len(list_intersect(q.t, c.t)) / len(list_distinct(list_concat(q.t, c.t))), 6) as score from q join c on collection = 'examples' or (c.s = q.s and c.id != q.qid) where len(list_intersect(q.t, c.t)) > 0)
+    select qid, collection, id, shared, score, row_number() over (partition by qid, collection order by score desc, id) as rank from x qualify rank <= 5"""
+)
+def response_similarity_top5(spark, d):
+    """For the responses of every hundredth attempt the five nearest examples and the five nearest other responses of the same system."""
+    m = read(spark, d, "identity_mapping").groupBy("blind_id").agg(F.min("system_id").alias("group"), F.min("attempt_index").alias("i"))
+    p = read(spark, d, "packets").where("candidate_response is not null").select("blind_id", "candidate_response").distinct().join(m, "blind_id")
+    p = p.select(F.col("blind_id").alias("id"), "group", "i", F.col("candidate_response").alias("text"))
+    q = p.where("i % 100 = 0").select(F.col("id").alias("qid"), "group", "text")
+    c = read(spark, d, "candidates").select(F.col("example_id").alias("id"), F.array_join("assistant_response.method", " ").alias("text")).distinct()
+    tokens = word_tokens(F.col("text"))
+    near = N.jaccard_neighbours(q.drop("group"), c, tokens, 5).withColumn("collection", F.lit("examples"))
+    other = N.jaccard_neighbours(q, p.drop("i"), tokens, 5, eligible=N.same_group).withColumn("collection", F.lit("same_system"))
+    return near.unionByName(other).withColumn("rank", F.col("rank").cast("long"))
