@@ -193,3 +193,24 @@ def test_folders_appear_and_change_as_a_whole(spark, tmp_path):
             (swapped / str(n) / folder).mkdir(parents=True)
             (swapped / str(n) / folder / "same.txt").write_text(text)
     assert len({tree_digest(spark, str(swapped / str(n))).first()["sha256"] for n in (0, 1)}) == 2
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    from lathework.sources.jsonl import scan_lines
+
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, n in (("a.jsonl", 4000), ("b.jsonl", 3)):
+        (folder / name).write_text("".join(json.dumps({"f": name, "k": str(k)}, separators=(",", ":")) + "\n" for k in range(1, n + 1)))
+    (folder / "c.jsonl").write_bytes(b'{"k":"1"}\n\xff\n{"k":"3"}')
+    (folder / "d.jsonl").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = scan_lines(spark, str(folder))
+        rows = [(r["path"].rsplit("/", 1)[-1], r["line"], json.loads(r["raw"])["k"] if r["raw"] else None, r["problem"]) for r in got.collect()]
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(str(n) == k for f, n, k, p in rows if p is None) and len([r for r in rows if r[3] is None]) == 4005
+    assert {r for r in rows if r[3]} == {("c.jsonl", 2, None, "not UTF-8"), ("c.jsonl", 0, None, "no final line feed")}
