@@ -9,6 +9,8 @@ what they themselves decide.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def latest(scores: DataFrame, item: str, annotator: str, value: str, order: list
     return rows.withColumn("rank", F.row_number().over(ranked)).where("rank = 1").select("item", "annotator", "value")
 
 
-def discover(claims: DataFrame, span: float, rounds: int = 12, settled: float = 0.005) -> tuple[DataFrame, DataFrame]:
+def discover(claims: DataFrame, span: float, rounds: int = 60, settled: float = 0.005) -> tuple[DataFrame, DataFrame]:
     """(items, annotators) from ``claims`` with item, annotator and a numeric value, one row for each annotator of an item; other columns are ignored.
 
     items: ``item, value, annotators, agreement, support``: the consensus (the weighted median, so one of the values
@@ -42,7 +44,9 @@ def discover(claims: DataFrame, span: float, rounds: int = 12, settled: float =
     is one minus the upper bound of the root of the mean squared distance, as a share of ``span``, the widest distance
     possible. An empty table gives two empty ones.
 
-    Rounds go on until no weight moves by more than ``settled`` of itself, or ``rounds`` are over. An annotator with a
+    item and annotator may be structs, as of field and name, so that several fields are solved in one go; the values of
+    each are then given as shares of its own span. Rounds go on until no weight moves by more than ``settled`` of itself;
+    that ``rounds`` don't get there is warned of. An annotator with a
     large part of all labels is split over tasks by join_hot; items' labels are summed by value before they are gathered.
     """
     cuts = Cuts(claims.sparkSession)
@@ -62,6 +66,8 @@ def discover(claims: DataFrame, span: float, rounds: int = 12, settled: float =
         cuts.drop(1, keep=1)
         if moved is None or moved <= settled:
             break
+    else:
+        warnings.warn(f"weights still moved by {moved:.4f} after {rounds} rounds", stacklevel=2)
     bound = F.sqrt(F.least(F.lit(1.0), (F.col("d") + FLOOR) / chi2_lower(F.greatest("m", F.lit(1)).cast("double"))))
     annotators = weights.select("annotator", F.col("n").alias("labels"), F.col("d").alias("distance"), F.col("w").alias("weight"), (1 - bound).alias("reliability"))
     return consensus(weighted(claims, weights, total)), annotators

@@ -14,9 +14,9 @@ from .mixing import mix, source_name
 from .near_dup import duplicate_groups, expand, link_counts, near_classes, near_duplicates
 from .packing import pack, packing_report
 from .pair_defects import pair_defects
-from .sql import P1_FOUND, P3_FOUND, P4_FOUND
+from .sql import P1_FOUND, P3_FOUND, P3_REPORT, P4_FOUND
 from .tokens import token_sizes
-from .truncation import truncated, truncation_rates
+from .truncation import cuts, examined, truncated, truncation_rates
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """All near-duplicate pairs, but that of more than 32 records of one text each further copy is paired with the first only.
+
+    Where a text has so many copies this is less than all pairs; the rest follow through the first copy, and p1_groups counts them.
+    """
     return near_duplicates(_texts(spark, d))
 
 
@@ -100,15 +104,19 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    answers = _answers(spark, d)
-    pairs = _read(spark, d, "packets").select(F.col("blind_id").alias("id"), F.col("user_prompt").alias("prompt"), F.col("candidate_response").alias("response"))
-    return pair_defects(pairs, truncated(answers)).withColumnRenamed("id", "blind_id")
+    return pair_defects(_answers(spark, d).withColumnRenamed("text", "response")).withColumnRenamed("id", "blind_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated(_answers(spark, d)).withColumnRenamed("id", "blind_id")
 
 
+def p6_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence of every cut: a length limit, by kind, length and tail, or a break in transfer."""
+    found = cuts(examined(_answers(spark, d), rules=False))
+    return found.select(F.col("id").alias("blind_id"), "path", "kind", "length", F.round("p", 9).alias("p"))
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """How often each source truncates."""
     answers = _answers(spark, d)
@@ -121,48 +129,47 @@ FIELDS = (("underlying_answer_quality", 2.0), ("full_qualitative_pass", 1.0))
 AT_LEAST = 3
 
 
-def _claims(spark: SparkSession, d: str, field: str) -> DataFrame:
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    """item, annotator, value of both fields at once: item and annotator with their field's number, the value as a share of the field's span."""
     s = _read(spark, d, "scores")
     name = F.trim(F.regexp_replace(F.lower(F.regexp_extract("evaluator", r"^([^,;]*)", 1)), r"(?U)\s+", " "))
-    value = F.col(field).cast("int")
-    valid = value.between(1, 3) if field == FIELDS[0][0] else value.isNotNull()
     known = _read(spark, d, "packets").select("blind_id").distinct()
-    rows = s.withColumns({"name": F.when(name != "", name), "value": F.when(valid, value)}).join(known, "blind_id", "left_semi")
-    return latest(rows, "blind_id", "name", "value", ["recorded_at", "ingested_at", "score_id"])
+    quality = F.when(F.col(FIELDS[0][0]).between(1, 3), F.col(FIELDS[0][0]))
+    values = ((FIELDS[0], quality), (FIELDS[1], F.col(FIELDS[1][0]).cast("int")))
+    each = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("field"), (v / span).alias("value")) for k, ((_, span), v) in enumerate(values)])
+    rows = s.withColumn("name", F.when(name != "", name)).join(known, "blind_id", "left_semi").withColumn("x", F.explode(each))
+    rows = rows.where("blind_id is not null and name is not null").select(F.struct("x.field", F.col("blind_id").alias("name")).alias("packet"), F.struct("x.field", "name").alias("who"), "x.value", "recorded_at", "ingested_at", "score_id")
+    return latest(rows, "packet", "who", "value", ["recorded_at", "ingested_at", "score_id"])
+
+
+def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return discover(_claims(spark, d), 1.0)
+
+
+def _field(c: str) -> Column:
+    return F.when(F.col(c) == 0, FIELDS[0][0]).otherwise(FIELDS[1][0]).alias("field")
 
 
-def _label(field: str) -> Column:
-    value = F.col("value").cast("int")
-    return value.cast("string") if field == FIELDS[0][0] else F.when(value == 1, "true").otherwise("false")
+def _label() -> Column:
+    quality = F.round(F.col("value") * FIELDS[0][1]).cast("int").cast("string")
+    return F.when(F.col("item.field") == 0, quality).otherwise(F.when(F.col("value") > 0.5, "true").otherwise("false"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for field, span in FIELDS:
-        items, _ = discover(_claims(spark, d, field), span)
-        rows = items.where(F.col("annotators") >= AT_LEAST).select(F.col("item").alias("blind_id"), F.lit(field).alias("field"), _label(field).alias("label"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    items, _ = _consensus(spark, d)
+    return items.where(F.col("annotators") >= AT_LEAST).select(F.col("item.name").alias("blind_id"), _field("item.field"), _label().alias("label"))
 
 
 def p5_items(spark: SparkSession, d: str) -> DataFrame:
     """Every packet's consensus, agreement and support in each field, however few evaluators."""
-    out = None
-    for field, span in FIELDS:
-        items, _ = discover(_claims(spark, d, field), span)
-        rows = items.select(F.col("item").alias("blind_id"), F.lit(field).alias("field"), _label(field).alias("label"), "annotators", F.round("agreement", 6).alias("agreement"), F.round("support", 6).alias("support"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    items, _ = _consensus(spark, d)
+    return items.select(F.col("item.name").alias("blind_id"), _field("item.field"), _label().alias("label"), "annotators", F.round("agreement", 6).alias("agreement"), F.round("support", 6).alias("support"))
 
 
 def p5_evaluators(spark: SparkSession, d: str) -> DataFrame:
     """Every evaluator's reliability in each field."""
-    out = None
-    for field, span in FIELDS:
-        _, annotators = discover(_claims(spark, d, field), span)
-        rows = annotators.select(F.col("annotator").alias("evaluator"), F.lit(field).alias("field"), "labels", F.round("reliability", 6).alias("reliability"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    _, annotators = _consensus(spark, d)
+    return annotators.select(F.col("annotator.name").alias("evaluator"), _field("annotator.field"), "labels", F.round("reliability", 6).alias("reliability"))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +229,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    p1_found, p1_groups, p2_found, p3_found, p3_report, p4_found, p4_splits, p5_found, p5_items, p5_evaluators, p6_found, p6_report,
+    p1_found, p1_groups, p2_found, p3_found, p3_report, p4_found, p4_splits, p5_found, p5_items, p5_evaluators, p6_found, p6_cuts, p6_report,
     p7_containers, p7_report, p8_copies, p8_shares, p9_found, p9_documents, p9_segments,
 )
 
@@ -232,4 +239,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_report": P3_REPORT, "p4_found": P4_FOUND}

@@ -37,6 +37,25 @@ select distinct f as eval_field, ew.id as eval_id, tw.id as train_example_id
 from s join ew on ew.k = i join tw on tw.k = j where s >= 0.75 * (len(ew.w) + len(tw.w) - s) - 1e-9
 """
 
+P3_REPORT = f"""
+with t as (select distinct example_id as id, user_prompt as x from candidates where lower(trim(split)) = 'train' and user_prompt is not null),
+r as (
+    select distinct 'validation' as f, example_id as id, user_prompt as x, provenance.authoring_batch_id as source from candidates where lower(trim(split)) = 'validation'
+    union select 'existing_prompt', case_id, existing_prompt, case_type from contamination_calibration
+    union select 'candidate_prompt', case_id, candidate_prompt, case_type from contamination_calibration
+),
+e as (select distinct f, id, x from r where x is not null),
+tw as (select id, {_words('x')} as w, row_number() over () as k from t),
+ew as (select f, id, {_words('x')} as w, row_number() over () as k from e),
+tb as (select k, u.word as word, count(*) as c from tw, unnest(w) as u(word) group by 1, 2),
+eb as (select k, u.word as word, count(*) as c from ew, unnest(w) as u(word) group by 1, 2),
+s as (select a.k as i, b.k as j, cast(sum(least(a.c, b.c)) as bigint) as s from eb a join tb b using (word) group by 1, 2),
+m as (select f, ew.id as id, tw.id as train, max(s / len(ew.w)) as covered from s join ew on ew.k = i join tw on tw.k = j where s >= 0.75 * (len(ew.w) + len(tw.w) - s) - 1e-9 group by 1, 2, 3),
+p as (select f, id, count(*) as pairs, max(covered) as most from m group by 1, 2),
+a as (select distinct f, id, source from r where id is not null)
+select f as field, source, count(*) as records, count(pairs) as overlapping, cast(coalesce(sum(pairs), 0) as bigint) as pairs, round(avg(most), 6) as coverage from a left join p using (f, id) group by 1, 2
+"""
+
 P4_FOUND = r"""
 with recursive m as (
     select distinct slot_id, example_id, case when r[1] = 'scenario' then r[2:] else r end as r
