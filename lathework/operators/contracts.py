@@ -79,7 +79,9 @@ def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def chain_report(events: DataFrame, key: str, order: list[str], kind: str, at: str, terminal: list[str]) -> DataFrame:
     """``key, events, after_terminal, repeats, reversals, last``: what breaks the chain of each key's events.
 
-    Events after a terminal one, events of the same kind as the one before, and steps back in time, in the order given.
+    Events after a terminal one, events of the same kind as the one before, and steps back in time, in the order given. A
+    chain is read in its order by one task, spilling what memory doesn't hold; keys are meant to have chains of a bounded
+    length, as the steps of one record or one user have.
     """
     w = Window.partitionBy(key).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -281,7 +281,8 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, carry: str) -> D
     """left with ``last``, the ``carry`` value of the latest right row of the same key at or before ``at``, and ``earlier``, how many there are.
 
     Both sides are put in one order and read once, whatever their sizes. Rows without key or time have nothing earlier;
-    of right rows at one time the greatest value is the latest.
+    of right rows at one time the greatest value is the latest. A key's rows pass through one task in order, never gathered
+    in memory; a key with a third of all rows costs one task a third of the sort.
     """
     columns = left.columns
     a = left.select(F.struct(*columns).alias("row"), F.col(key).alias("k"), F.col(at).alias("t"), F.lit(None).alias("v"), F.lit(1).alias("side"))
