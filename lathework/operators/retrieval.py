@@ -84,7 +84,11 @@ def shared_counts(left, right) -> np.ndarray:
         for lo in range(0, len(at), 1 << 16):
             a, d, k = at[lo : lo + (1 << 16)], doc[lo : lo + (1 << 16)], many[lo : lo + (1 << 16)]
             inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            np.add.at(out, owner[np.repeat(ends[a], k) + inner] * len(other) + np.repeat(d, k), 1)
+            pair = owner[np.repeat(ends[a], k) + inner] * len(other) + np.repeat(d, k)
+            if len(pair) * 4 > len(out):
+                out += np.bincount(pair, minlength=len(out)).astype(np.int32)
+            else:
+                np.add.at(out, pair, 1)
     return out.reshape(len(size), len(other))
 
 
@@ -129,9 +133,8 @@ def jaccard_neighbours(queries: DataFrame, corpus: DataFrame, tokens: Column, k:
     queries and one of rows which may meet. Tokens are counted in blocks as hashes, so a token that every row has costs
     no more than others, and only each block's best are shuffled.
     """
-    hashed = F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
-    q = queries.withColumn("t", hashed).drop("text")
-    c = corpus.withColumn("t", hashed).drop("text")
+    hashed = F.coalesce(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))), F.array().cast("array<bigint>"))
+    q, c = (df.where("text is not null").withColumn("t", hashed).drop("text") for df in (queries, corpus))
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         shared = shared_counts(left["t"], right["t"])
@@ -140,7 +143,7 @@ def jaccard_neighbours(queries: DataFrame, corpus: DataFrame, tokens: Column, k:
         i, j = _best(score, (shared > 0) & eligible(left, right), k)
         return pd.DataFrame({"qid": left["qid"].to_numpy()[i], "id": right["id"].to_numpy()[j], "shared": shared[i, j].astype(np.int64), "score": score[i, j]})
 
-    found = in_blocks(q.where("t is not null"), c.where("t is not null"), kernel, f"qid {_kind(queries, 'qid')}, id {_kind(corpus, 'id')}, shared long, score double")
+    found = in_blocks(q, c, kernel, f"qid {_kind(queries, 'qid')}, id {_kind(corpus, 'id')}, shared long, score double")
     return top_k(found.withColumn("score", F.round("score", digits)), ["qid"], "score", "id", k)
 
 
