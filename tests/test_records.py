@@ -130,7 +130,7 @@ def test_samples_and_covers_are_those_of_whole_groups(spark):
         rest = [i for _, i, _ in mine if i not in first][: max(0, 20 - len(first))]
         got = {r["id"] for r in S.stratified(df, "id", "g", "s", 3, 20, 1).where(F.col("g") == group).collect()}
         assert got == set(first) | set(rest)
-        picked = [r["id"] for r in A.greedy_cover(df, "g", "id", "labels", 6, 5).where(F.col("g") == group).orderBy("pick").collect()]
+        picked = [r["id"] for r in A.greedy_cover(df, "g", "id", "labels", 6, 5).where(F.col("family") == group).orderBy("pick").collect()]
         left, seen, expected = sorted((A.priority(5, i), i, frozenset(l)) for i, g, _, l in rows if g == group), set(), []
         while len(expected) < 6:
             best = min(left, key=lambda x: (-len(x[2] - seen), x[0], x[1]))
