@@ -29,9 +29,9 @@ from .text import BUCKETS, Words, may_overlap, mix, outlines
 
 #: Texts hashed together: bounds a worker's memory to a few times their bytes.
 CHUNK_BYTES = 4 << 20
-#: Columns multiplied in the dense product, each a byte; documents in one of its blocks, and of them at a time; steps of
-#: size from one block to those still compared with it.
-DENSE, DENSE_ROWS, TILE, STEPS = 256, 24576, 512, 2
+#: Columns multiplied in the dense product, each a byte; documents, and their words, in one of its blocks, about; documents
+#: multiplied at a time; steps of size from one block to those still compared with it.
+DENSE, DENSE_ROWS, DENSE_WORDS, TILE, STEPS = 256, 16384, 1 << 22, 512, 2
 #: Words that this share of the documents have are columns of their own; rarer ones are put together until a document has
 #: so many of a column's words on average.
 ALONE, TOGETHER = 0.35, 0.45
@@ -242,60 +242,91 @@ def product(column: DataFrame, threshold: float, block: int) -> DataFrame:
 
 
 def dense_product(docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of keys within a collection that the bounds leave, of all pairs. docs: collection, key, n, outline, level, columns."""
+    """Pairs of keys within a collection that the bounds leave, of all pairs. docs: collection, key, n, outline, level, columns.
+
+    Collections of more than a block are packed into blocks once, a row and a file each. Tasks then read the pairs of
+    blocks from there, so that the shuffle and the folder hold every document once, whatever the number of blocks.
+    """
     docs = docs.select("collection", "level", "key", "n", "outline", "columns")
-    sizes = docs.groupBy("collection", "level").agg(F.ceil(F.count("*") / DENSE_ROWS).cast("int").alias("blocks"))
-    other = sizes.select("collection", F.col("level").alias("l"), F.col("blocks").alias("b"))
-    near = sizes.join(other, "collection").where(F.abs(F.col("level") - F.col("l")) <= STEPS)
-    number = lambda level, block: F.shiftleft(level.cast("long"), 32) + block
-    near = near.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda k: number(F.col("l"), k))))
-    near = near.groupBy("collection", "level", "blocks").agg(F.collect_list("other").alias("others"))
-    own = number(F.col("level"), F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")))
-    placed = docs.join(near, ["collection", "level"]).withColumn("own", own).withColumn("other", F.explode("others"))
-    placed = placed.select("collection", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "n", "outline", "columns")
+    sizes = docs.groupBy("collection", "level").agg((F.count("*") / DENSE_ROWS).alias("by_rows"), (F.sum("n") / DENSE_WORDS).alias("by_words"))
+    most = F.greatest(*(F.sum(c).over(Window.partitionBy("collection")) for c in ("by_rows", "by_words")))
+    # a row for each level of a collection that fills a block at least, so few
+    several = sizes.withColumn("most", most).where("most > 1").select("collection", "level", F.ceil(F.greatest("by_rows", "by_words")).cast("int").alias("blocks"))
+    placed = docs.join(F.broadcast(several), ["collection", "level"], "left")
+    place = F.shiftleft(F.col("level").cast("long"), 32) + F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks"))
+    fields = ["keys", "sizes", "outlines", "ends", "columns"]
     share = threshold / (1 + threshold)
 
-    def matrix(columns):
-        size = np.fromiter(map(len, columns), np.int64, len(columns))
-        at = np.repeat(np.arange(len(columns)), size) * DENSE + np.frombuffer(b"".join(columns), np.uint8)
-        return np.bincount(at, minlength=len(columns) * DENSE).reshape(-1, DENSE).astype(np.float32), size
-
-    def multiply(cell: pa.Table) -> pa.Table:
+    def packed(cell: pa.Table) -> list[bytes]:
         cell = cell.sort_by("n")
-        lo, hi, own, key, n = (cell.column(c).to_numpy() for c in ("lo", "hi", "own", "key", "n"))
-        n = n.astype(np.int64)
-        outline = np.frombuffer(b"".join(cell.column("outline").to_pylist()), np.uint8).reshape(-1, BUCKETS)
-        m, size = matrix(cell.column("columns").to_pylist())
+        columns = cell.column("columns").to_pylist()
+        ends = np.cumsum(np.fromiter(map(len, columns), np.int64, len(columns)))
+        return [cell.column("key").to_numpy().tobytes(), cell.column("n").to_numpy().astype(np.int64).tobytes(), b"".join(cell.column("outline").to_pylist()), ends.tobytes(), b"".join(columns)]
+
+    def pack(cell: pa.Table) -> pa.Table:
+        first = [cell.column(c)[0].as_py() for c in ("collection", "level", "place")]
+        return pa.table([pa.array([x]) for x in first[:1]] + [pa.array(first[1:2], pa.int32()), pa.array(first[2:], pa.int64())] + [pa.array([x], pa.binary()) for x in packed(cell)], ["collection", "level", "place", *fields])
+
+    def unpacked(block: list):
+        """Keys, sizes, outlines, words outside all columns, and both factors of the product."""
+        key, n, outline, ends, columns = (np.frombuffer(x, kind) for x, kind in zip(block, (np.int64, np.int64, np.uint8, np.int64, np.uint8)))
+        size = np.diff(ends, prepend=0)
+        at = np.repeat(np.arange(len(key)), size) * DENSE + columns
+        m = np.bincount(at, minlength=len(key) * DENSE).reshape(-1, DENSE).astype(np.float32)
         rest = n - size
         # two more columns, so that the product is the shared words, plus a's others, less the words needed
         left = np.column_stack([m, rest - share * n, np.ones(len(n))]).astype(np.float32)
         right = np.column_stack([m, np.ones(len(n)), -share * n]).astype(np.float32)
-        first, second = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        slack = 1 + 1e-5 * float(n.max())
+        return key, n, outline.reshape(-1, BUCKETS), rest, left, right
+
+    def multiply(one: list, two: list | None) -> pa.RecordBatch:
+        """Pairs of two blocks, each sorted by size, or within one."""
+        key, n, outline, rest, left, right = unpacked(one)
+        key_b, n_b, outline_b, rest_b, _, right = unpacked(two) if two else (key, n, outline, rest, left, right)
+        slack = 1 + 1e-5 * float(max(n[-1], n_b[-1]))
         out = []
-        for k in range(0, len(first), TILE):
-            for l in range(k if lo[0] == hi[0] else 0, len(second), TILE):
-                a, b = first[k : k + TILE], second[l : l + TILE]
+        for k in range(0, len(key), TILE):
+            for l in range(0 if two else k, len(key_b), TILE):
+                a, b = slice(k, min(k + TILE, len(key))), slice(l, min(l + TILE, len(key_b)))
                 # sorted by size, so whole tiles fall below the bound
-                if n[a[-1]] < threshold * n[b[0]] * (1 - 1e-9) or n[b[-1]] < threshold * n[a[0]] * (1 - 1e-9):
+                if n[a.stop - 1] < threshold * n_b[b.start] * (1 - 1e-9) or n_b[b.stop - 1] < threshold * n[a.start] * (1 - 1e-9):
                     continue
                 product = (left[a] @ right[b].T).ravel()
                 at = np.flatnonzero(product >= -slack)
-                x, y = np.divmod(at, len(b))
-                x, y = a[x], b[y]
+                x, y = np.divmod(at, b.stop - b.start)
+                x, y = x + k, y + l
                 # the same bound by the other words of b
-                ok = product[at] + rest[y] - rest[x] >= -slack
-                if lo[0] == hi[0]:
+                ok = product[at] + rest_b[y] - rest[x] >= -slack
+                if not two:
                     ok &= x < y
                 x, y = x[ok], y[ok]
                 for at in range(0, len(x), 1 << 16):
                     i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-                    ok = may_overlap(outline[i], n[i], outline[j], n[j], threshold)
-                    out.append(np.stack([np.minimum(key[i[ok]], key[j[ok]]), np.maximum(key[i[ok]], key[j[ok]])]))
+                    ok = may_overlap(outline[i], n[i], outline_b[j], n_b[j], threshold)
+                    i, j = key[i[ok]], key_b[j[ok]]
+                    out.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
         a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def alone(cell: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([multiply(packed(cell), None)])
 
-    return placed.groupBy("collection", "lo", "hi").applyInArrow(multiply, "a long, b long")
+    def meet(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lo, hi, *block = (batch.column(c)[k] for c in range(batch.num_columns))
+                one, two = ([x.as_buffer() for x in part] for part in (block[: len(fields)], block[len(fields) :]))
+                yield multiply(one, None if lo == hi else two)
+
+    schema = "collection string, level int, place long, " + ", ".join(f"{c} binary" for c in fields)
+    blocks = placed.where("blocks is not null").withColumn("place", place).groupBy("collection", "level", "place").applyInArrow(pack, schema)
+    blocks = cut(blocks, 1)
+    other = blocks.select(*[F.col(c).alias(f"{c}_b") for c in blocks.columns])
+    near = (F.col("collection") == F.col("collection_b")) & (F.col("place") <= F.col("place_b")) & (F.col("level_b") - F.col("level") <= STEPS)
+    # both sides are read from the folder for each pair of their splits; nothing is shuffled or broadcast
+    pairs = blocks.join(other.hint("shuffle_replicate_nl"), near)
+    pairs = pairs.select("place", "place_b", *fields, *[f"{c}_b" for c in fields]).mapInArrow(meet, "a long, b long")
+    return pairs.unionByName(placed.where("blocks is null").groupBy("collection").applyInArrow(alone, "a long, b long"))
 
 
 def expand(near: DataFrame, members: DataFrame, first: int = 32) -> DataFrame:

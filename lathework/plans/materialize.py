@@ -27,11 +27,11 @@ class Cuts:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.made = spark, f"{shared_folder(spark)}/lathework-{uuid.uuid4().hex}", []
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """df, written once and read from there."""
+    def cut(self, df: DataFrame, file_rows: int = 0) -> DataFrame:
+        """df, written once and read from there; ``file_rows``: the most rows of a file, 0 for any number."""
         path = f"{self.folder}/{len(self.made)}"
         schema = df.schema
-        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+        df.write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
         self.made.append(path)
         return self.spark.read.schema(schema).parquet(path)
 
@@ -46,6 +46,6 @@ class Cuts:
                 self.made[k] = ""
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, file_rows: int = 0) -> DataFrame:
     """df, written once to the shared folder and read from there; it stays as long as the folder does."""
-    return Cuts(df.sparkSession).cut(df)
+    return Cuts(df.sparkSession).cut(df, file_rows)

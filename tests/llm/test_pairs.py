@@ -103,6 +103,24 @@ def test_pairs_without_a_common_gram_are_found(spark, block):
     assert got == brute(rows, 0.7, 50) and len(got) > 10
 
 
+def test_dense_product_shuffles_each_document_once_whatever_the_blocks(spark, monkeypatch):
+    from lathework.llm import near_dup
+
+    rng = random.Random(11)
+    rows = [("c", f"id{k:03d}", " ".join(f"w{rng.randrange(300)}" for _ in range(60)), None) for k in range(240)]
+    one = near_dup.cut(spark.createDataFrame(rows, SCHEMA).selectExpr("collection", "xxhash64(id) as key", "60 as n", "repeat('x', 64) as outline", "20 as level", "cast(substring(repeat(id, 12), 1, 60) as binary) as columns").withColumn("outline", F.col("outline").cast("binary")))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled(rows_of_a_block):
+        monkeypatch.setattr(near_dup, "DENSE_ROWS", rows_of_a_block)
+        before = sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(k) for k in range(x.size())])(store.executorList(True)))
+        near_dup.dense_product(one, 0.7).write.format("noop").mode("overwrite").save()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(k) for k in range(x.size())])(store.executorList(True))) - before
+
+    assert shuffled(6) < 2 * shuffled(1000)
+
+
 def test_dense_product_finds_all_pairs_between_and_within_its_blocks(spark, monkeypatch):
     from lathework.llm import near_dup
 
