@@ -113,6 +113,26 @@ def test_blocks_find_what_brute_force_finds(spark, monkeypatch):
     assert tuple(N.recall_at(found, queries.select("qid", F.col("qid").alias("id"))).first())[:2] == (11, 10)
 
 
+def test_lexical_neighbours_computes_no_ratio_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["a", "the", "plan", "picnic", "garden", "fence", "straße", "日本", "e\u0301t\u00e9", "😀", "x" * 300, "19", "9"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    queries = [(f"q{i}", text(rng.choice([0, 1, 4, 9, 40]))) for i in range(12)]
+    corpus = [(f"c{i:03d}", text(rng.choice([0, 1, 3, 8, 30, 200]))) for i in range(90)] + [("same", queries[-1][1]), ("other", "zzz qqq")]
+    expected = {}
+    for q, a in queries:
+        rated = sorted((-round(N.token_ratio(a, b), 6), c) for c, b in corpus if N.token_ratio(a, b) > 0)[:4]
+        expected |= {(q, rank): (c, -s) for rank, (s, c) in enumerate(rated, 1)}
+
+    def slow(a, b):
+        raise AssertionError("a pair's ratio computed alone")
+
+    monkeypatch.setattr(N, "token_ratio", slow)
+    monkeypatch.setattr(N, "LEXICAL_BITS", 4000, raising=False)
+    got = N.lexical_neighbours(spark.createDataFrame(queries, "qid string, text string"), spark.createDataFrame(corpus, "id string, text string"), 4)
+    assert {(r["qid"], r["rank"]): (r["id"], r["score"]) for r in got.collect()} == expected
+
+
 def test_metadata_neighbours_count_fields(spark):
     rows = spark.createDataFrame([("a", ["X"], ["p", "q"]), ("b", ["x "], ["q"]), ("c", [None], [""]), ("d", None, ["p"]), ("b", ["z"], ["p"])], "id string, f array<string>, g array<string>")
     got = [(r["qid"], r["id"], r["score"], r["rank"]) for r in N.metadata_neighbours(rows.where("id = 'a'").withColumnRenamed("id", "qid"), rows, ["f", "g"], 5).orderBy("rank").collect()]
