@@ -5,8 +5,7 @@ n-grams of one word, as texts may be reordered. Any two documents whose overlap
 among the rarest of both (grams.prefixes), so no other columns take part. The product runs column by column where columns
 hold at most ``block`` documents, and the counts of shared columns are accumulated pair by pair. Documents with a larger
 column among their rarest are multiplied with each other as a whole, in blocks of like sizes, each pair of blocks a task
-of its own: the words most documents have are multiplied, rarer ones in columns of several words, and the words outside
-all columns bound what they can add. Sizes, accumulated counts and word outlines bound each pair's overlap from above;
+of its own: all words are multiplied, put together in columns so that words which occur together share one. Sizes, accumulated counts and word outlines bound each pair's overlap from above;
 pairs below the bound are discarded where they arise, the rest are compared word by word.
 """
 
@@ -29,12 +28,14 @@ from .text import BUCKETS, Words, may_overlap, mix, outlines
 
 #: Texts hashed together: bounds a worker's memory to a few times their bytes.
 CHUNK_BYTES = 4 << 20
-#: Columns multiplied in the dense product, each a byte; documents, and their words, in one of its blocks, about; documents
-#: multiplied at a time; steps of size from one block to those still compared with it.
+#: The most columns multiplied in the dense product, each a byte; documents, and their words, in one of its blocks, about;
+#: documents multiplied at a time; steps of size from one block to those still compared with it.
 DENSE, DENSE_ROWS, DENSE_WORDS, TILE, STEPS = 256, 16384, 1 << 22, 512, 2
-#: Words that this share of the documents have are columns of their own; rarer ones are put together until a document has
-#: so many of a column's words on average.
-ALONE, TOGETHER = 0.35, 0.45
+#: Numbers of columns tried, fewest first; the share of the pairs that a column's product costs as much as to compare further.
+WIDTHS, WORTH = (96, 160, DENSE), 1e-4
+#: Texts, and characters of each, by which words are put together in columns; the most frequent words placed by them, over
+#: and over; times its own cost that a word in a column with others may cost while columns are empty.
+SAMPLE, SAMPLE_CHARS, PLACED, SWEEPS, LOSS = 1024, 4096, 1024, 3, 1.2
 
 
 def chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list]]:
@@ -70,26 +71,74 @@ def word_counts(texts: DataFrame, slots=slots) -> tuple[np.ndarray, int]:
     return out, int(got.loc[got["slot"] < 0, "n"].sum())
 
 
-def dense_columns(count: np.ndarray, n_docs: int) -> np.ndarray:
-    """The column of each sketch slot in the dense product, -1 for those outside.
+def dense_columns(count: np.ndarray, n_docs: int, w: Words, threshold: float) -> tuple[np.ndarray, int]:
+    """The column of each sketch slot in the dense product, -1 for those that no text has, and the number of columns.
 
-    The product of two documents' counts in a column is at least the words they share there, whichever words it holds, so
-    the columns' choice decides the cost and never the result. Words of a column are far apart in frequency order, as
-    equally frequent ones tend to occur together.
+    The product of the roots of two documents' counts in a column is at least the words they share there, whichever words
+    it holds, so the columns' choice, by the texts of w, decides the cost and never the result. Few columns cost little
+    and leave many pairs to be compared further; taken are the fewest of WIDTHS that leave no more than is worth it.
+    """
+    doc, slot, n = w.occurrences()[0], occurrence_slots(w), w.sizes()
+    bound = threshold / (1 + threshold) * np.add.outer(n, n)
+    able = np.minimum.outer(n, n) >= bound
+    np.fill_diagonal(able, False)
+    for width in WIDTHS:
+        place = together(count, n_docs, doc, slot, width)
+        known = place[slot] >= 0
+        root = np.sqrt(np.bincount(doc[known] * width + place[slot[known]], minlength=len(n) * width).reshape(-1, width))
+        if (able & (root @ root.T >= bound)).sum() <= WORTH * width * able.sum():
+            break
+    return place, width
+
+
+def together(count: np.ndarray, n_docs: int, doc: np.ndarray, slot: np.ndarray, width: int) -> np.ndarray:
+    """Columns for the sketch slots that keep the product of two documents' roots small; doc, slot: those of some documents.
+
+    Over pairs of documents that product is, in each column, the square of the mean root on average. Words that always
+    occur together add no more to it in one column than in two.
     """
-    place = np.full(len(count), -1, np.int16)
     order = np.argsort(-count, kind="stable")
     order = order[count[order] > 0]
-    share = count[order] / max(n_docs, 1)
-    alone = min(int(np.searchsorted(-share, -ALONE, side="right")), DENSE)
-    place[order[:alone]] = np.arange(alone)
-    if alone < DENSE:
-        last = alone + int(np.searchsorted(np.cumsum(share[alone:]), (DENSE - alone) * TOGETHER, side="right")) + 1
-        load = [(0.0, c) for c in range(alone, DENSE)]
-        for slot, s in zip(order[alone:last].tolist(), share[alone:last].tolist()):
-            held, c = heapq.heappop(load)
-            place[slot] = c
-            heapq.heappush(load, (held + s, c))
+    place = np.full(len(count), -1, np.int16)
+    top = np.full(len(count), -1)
+    top[order[:PLACED]] = np.arange(len(order[:PLACED]))
+    docs = max(int(doc[-1]) + 1 if len(doc) else 0, 1)
+    held, word = doc[top[slot] >= 0], top[slot[top[slot] >= 0]]
+    by_word = np.argsort(word, kind="stable")
+    rows = np.split(held[by_word], np.searchsorted(word[by_word], np.arange(1, len(order[:PLACED]))))
+    x, mean, size = np.zeros((docs, width), np.int64), np.zeros(width), np.zeros(width, np.int64)
+    # what one more word adds to a document's root
+    more = np.ones((docs, width))
+
+    def put(at: np.ndarray, c: int, by: int) -> None:
+        new = x[at, c] + by
+        mean[c] += (np.sqrt(new) - np.sqrt(x[at, c])).sum() / docs
+        x[at, c] = new
+        more[at, c] = np.sqrt(new + 1) - np.sqrt(new)
+        size[c] += by
+
+    for _ in range(SWEEPS):
+        for k, at in enumerate(rows):
+            # a word of none of these documents is placed below
+            if not len(at):
+                continue
+            if place[order[k]] >= 0:
+                put(at, place[order[k]], -1)
+            add = more[at].sum(axis=0) / docs
+            cost = np.where(size > 0, add * (2 * mean + add), np.inf)
+            c = int(np.argmin(cost))
+            if cost[c] > LOSS * (len(at) / docs) ** 2 and not size.all():
+                c = int(np.argmin(size))
+            put(at, c, 1)
+            place[order[k]] = c
+    # the rest as if independent of the others
+    rest, add = order[place[order] < 0], more.mean(axis=0)
+    load = [(mean[c] * add[c], c) for c in range(width)]
+    heapq.heapify(load)
+    for s, share in zip(rest.tolist(), (count[rest] / max(n_docs, 1)).tolist()):
+        cost, c = heapq.heappop(load)
+        place[s] = c
+        heapq.heappush(load, (cost + share * add[c] ** 2, c))
     return place
 
 
@@ -127,8 +176,12 @@ def near_classes(docs: DataFrame, threshold: float = 0.7, min_words: int = 50, b
     if not n_docs:
         return spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "collection string, id string, key long, exact long")
     step = -np.log(threshold * (1 - 1e-9)) / STEPS
+    # some SAMPLE texts, to choose columns only
+    own = F.xxhash64("id", "exact")
+    some = docs.where(F.pmod(own, F.lit(n_docs // SAMPLE + 1)) == 0).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), own.alias("own")).orderBy("own").limit(SAMPLE)
+    place, width = dense_columns(sketch, n_docs, Words([r["text"] for r in some.collect()]), threshold)
     # 6 MB of fixed size
-    shared = spark.sparkContext.broadcast((sketch.astype(np.float32), dense_columns(sketch, n_docs)))
+    shared = spark.sparkContext.broadcast((sketch.astype(np.float32), place))
 
     def features(batches):
         for batch in batches:
@@ -166,7 +219,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.7, min_words: int = 50, b
     column = entries.withColumn("size", F.count("*").over(Window.partitionBy("gram"))).where("size > 1")
     met = product(column.join(one.select("key", "n", "outline"), "key"), threshold, block)
     sparse = met.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")).where(reachable(threshold)).select("a", "b")
-    pairs = cut(sparse.unionByName(dense_product(one.where("large"), threshold)).distinct())
+    pairs = cut(sparse.unionByName(dense_product(one.where("large"), threshold, width)).distinct())
     counted = shared_words(pairs, rows.select("key", "exact"), docs.select("exact", "text"), n_docs)
     near = cut(counted.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b"))
     return near, rows.select("collection", "id", "key", "exact")
@@ -182,6 +235,15 @@ def reachable(threshold: float) -> Column:
     return F.col("common") + F.greatest(left("na"), left("nb")) >= F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
 
 
+def few(mask: np.ndarray) -> np.ndarray:
+    """The places where a mask holds, found eight at a time where it seldom does."""
+    if np.count_nonzero(mask) * 64 > len(mask):
+        return np.flatnonzero(mask)
+    whole = len(mask) // 8 * 8
+    at = (np.flatnonzero(mask[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([at[mask[at]], np.flatnonzero(mask[whole:]) + whole])
+
+
 def hash_text(text: str) -> int:
     import zlib
 
@@ -241,9 +303,11 @@ def product(column: DataFrame, threshold: float, block: int) -> DataFrame:
     return placed.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(multiply, "a long, b long, na long, nb long, common long")
 
 
-def dense_product(docs: DataFrame, threshold: float) -> DataFrame:
+def dense_product(docs: DataFrame, threshold: float, width: int = DENSE) -> DataFrame:
     """Pairs of keys within a collection that the bounds leave, of all pairs. docs: collection, key, n, outline, level, columns.
 
+    columns: a byte below ``width`` for each of a text's words that has a column.
+
     Collections of more than a block are packed into blocks once, a row and a file each. Tasks then read the pairs of
     blocks from there, so that the shuffle and the folder hold every document once, whatever the number of blocks.
     """
@@ -271,10 +335,11 @@ def dense_product(docs: DataFrame, threshold: float) -> DataFrame:
         """Keys, sizes, outlines, words outside all columns, and both factors of the product."""
         key, n, outline, ends, columns = (np.frombuffer(x, kind) for x, kind in zip(block, (np.int64, np.int64, np.uint8, np.int64, np.uint8)))
         size = np.diff(ends, prepend=0)
-        at = np.repeat(np.arange(len(key)), size) * DENSE + columns
-        m = np.bincount(at, minlength=len(key) * DENSE).reshape(-1, DENSE).astype(np.float32)
+        at = np.repeat(np.arange(len(key)), size) * width + columns
+        # the product of two roots is at least the lesser count, and less than that of the counts
+        m = np.sqrt(np.bincount(at, minlength=len(key) * width).reshape(-1, width).astype(np.float32))
         rest = n - size
-        # two more columns, so that the product is the shared words, plus a's others, less the words needed
+        # two more columns, so that the product is a bound of the shared words, plus a's others, less the words needed
         left = np.column_stack([m, rest - share * n, np.ones(len(n))]).astype(np.float32)
         right = np.column_stack([m, np.ones(len(n)), -share * n]).astype(np.float32)
         return key, n, outline.reshape(-1, BUCKETS), rest, left, right
@@ -284,15 +349,16 @@ def dense_product(docs: DataFrame, threshold: float) -> DataFrame:
         key, n, outline, rest, left, right = unpacked(one)
         key_b, n_b, outline_b, rest_b, _, right = unpacked(two) if two else (key, n, outline, rest, left, right)
         slack = 1 + 1e-5 * float(max(n[-1], n_b[-1]))
-        out = []
+        out, room = [], np.empty(TILE * TILE, np.float32)
         for k in range(0, len(key), TILE):
             for l in range(0 if two else k, len(key_b), TILE):
                 a, b = slice(k, min(k + TILE, len(key))), slice(l, min(l + TILE, len(key_b)))
                 # sorted by size, so whole tiles fall below the bound
                 if n[a.stop - 1] < threshold * n_b[b.start] * (1 - 1e-9) or n_b[b.stop - 1] < threshold * n[a.start] * (1 - 1e-9):
                     continue
-                product = (left[a] @ right[b].T).ravel()
-                at = np.flatnonzero(product >= -slack)
+                product = room[: (a.stop - a.start) * (b.stop - b.start)]
+                np.matmul(left[a], right[b].T, out=product.reshape(a.stop - a.start, -1))
+                at = few(product >= -slack)
                 x, y = np.divmod(at, b.stop - b.start)
                 x, y = x + k, y + l
                 # the same bound by the other words of b

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,51 @@ def test_dense_product_finds_all_pairs_between_and_within_its_blocks(spark, monk
     assert got == brute(rows, 0.7, 50) and len(got) == 100 * 99 // 2
 
 
+def phrased(rng, texts, phrases=120, each=9):
+    """Texts of whole phrases, whose words so occur together, some of them twice."""
+    listed = [" ".join(f"p{p}x{j // 2}" for j in range(each)) for p in range(phrases)]
+    return [" ".join(rng.choice(listed) for _ in range(8)) + f" own{k}" for k in range(texts)]
+
+
+def test_words_that_occur_together_share_columns_so_few_are_multiplied():
+    from lathework.llm.grams import SKETCH, occurrence_slots
+    from lathework.llm.near_dup import dense_columns
+    from lathework.llm.text import Words
+
+    w = Words(phrased(random.Random(5), 600))
+    slot, n = occurrence_slots(w), w.sizes()
+    count = np.bincount(slot, minlength=SKETCH)
+    place, width = dense_columns(count, 600, w, 0.7)
+    assert width == 96 and place.min() == -1 and place.max() < width and (place[slot] >= 0).all()
+    held = np.bincount(w.occurrences()[0] * width + place[slot], minlength=600 * width).reshape(-1, width)
+    product = np.sqrt(held) @ np.sqrt(held).T
+    for i, j in combinations(range(0, 600, 12), 2):
+        assert product[i, j] >= np.minimum(held[i], held[j]).sum() - 1e-9
+    assert (product >= 0.7 / 1.7 * np.add.outer(n, n)).mean() < 0.02
+
+
+@pytest.mark.parametrize("worth", [1e-4, -1.0])
+def test_the_number_of_columns_decides_no_pair(spark, monkeypatch, worth):
+    from lathework.llm import near_dup
+
+    # below zero no number is worth it, so that the most columns are taken
+    monkeypatch.setattr(near_dup, "WORTH", worth)
+    rng = random.Random(8)
+    rows = [(rng.choice("cp"), f"id{k:03d}", t, None) for k, t in enumerate(phrased(rng, 150))]
+    rows += [(c, f"{i}-{k}", " ".join(rng.sample(t.split(), len(t.split()) - 3 * k)) + " tail" * k, None) for c, i, t, _ in rows[:40] for k in range(3)]
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), block=2).collect()}
+    assert got == brute(rows, 0.7, 50) and len(got) > 60
+
+
+def test_few_finds_every_place():
+    from lathework.llm.near_dup import few
+
+    rng = np.random.default_rng(3)
+    for size, share in [(0, 0.5), (7, 0.5), (64, 0.0), (4099, 0.001), (4099, 0.4)]:
+        mask = rng.random(size) < share
+        assert few(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert near_duplicates(spark.createDataFrame([("c", "a", None, ""), ("c", "b", "short", "")], SCHEMA)).count() == 0
