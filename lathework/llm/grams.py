@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .text import Words
+from .text import Words, order_in_documents
 
 #: Counters of the word-count sketch: its size, whatever the corpus holds.
 SKETCH = 1 << 20
@@ -26,7 +26,7 @@ def canonical(w: Words, count: np.ndarray):
     """
     doc, h = w.occurrences()
     seen = count[occurrence_slots(w)]
-    order = np.lexsort((h, seen, doc))
+    order = order_in_documents(doc, h, seen)
     doc, h, seen = doc[order], h[order], seen[order]
     return doc, h, seen, _rank(doc)
 

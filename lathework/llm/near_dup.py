@@ -5,8 +5,9 @@ n-grams of one word, as texts may be reordered. Any two documents whose overlap
 among the rarest of both (grams.prefixes), so no other columns take part. The product runs column by column where columns
 hold at most ``block`` documents, and the counts of shared columns are accumulated pair by pair. Documents with a larger
 column among their rarest are multiplied with each other as a whole, in blocks of like sizes, each pair of blocks a task
-of its own: all words are multiplied, put together in columns so that words which occur together share one. Sizes, accumulated counts and word outlines bound each pair's overlap from above;
-pairs below the bound are discarded where they arise, the rest are compared word by word.
+of its own: all words are multiplied, put together in columns so that words which occur together share one. Sizes,
+accumulated counts and word outlines bound each pair's overlap from above; pairs below the bound are discarded where they
+arise, the rest are compared word by word.
 """
 
 from __future__ import annotations
@@ -240,7 +241,7 @@ def few(mask: np.ndarray) -> np.ndarray:
     if np.count_nonzero(mask) * 64 > len(mask):
         return np.flatnonzero(mask)
     whole = len(mask) // 8 * 8
-    at = (np.flatnonzero(mask[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    at = (np.flatnonzero(mask[:whole].view(np.uint64) != 0)[:, None] * 8 + np.arange(8)).ravel()
     return np.concatenate([at[mask[at]], np.flatnonzero(mask[whole:]) + whole])
 
 

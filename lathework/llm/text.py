@@ -47,6 +47,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def order_in_documents(doc: np.ndarray, h: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+    """The order by ascending doc, by count if given, and by h, as np.lexsort has it but for equals.
+
+    doc and count: whole numbers from 0. All three are sorted as one number of 64 bits, with as much of h as it holds;
+    where that isn't all, ties are sorted once more.
+    """
+    if not len(doc):
+        return np.empty(0, np.int64)
+    keys = [doc] if count is None else [doc, count]
+    bits = [max(int(x.max()).bit_length(), 1) for x in keys]
+    if sum(bits) > 63:
+        return np.lexsort((h, *keys[::-1]))
+    lead = np.zeros(len(doc), np.uint64)
+    for x, b in zip(keys, bits):
+        lead = lead << np.uint64(b) | x.astype(np.uint64)
+    one = lead << np.uint64(64 - sum(bits)) | h >> np.uint64(sum(bits))
+    order = np.argsort(one)
+    one, full = one[order], h[order]
+    same = one[1:] == one[:-1]
+    if (same & (full[1:] != full[:-1])).any():
+        tied = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+        order[tied] = order[tied][np.lexsort((full[tied], one[tied]))]
+    return order
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
@@ -98,7 +123,7 @@ class Words:
         """(document, hash) of the n-th occurrence of each word, sorted: a bag as a set."""
         if self._occurrences is not None:
             return self._occurrences
-        order = np.lexsort((self.hashes, self.doc))
+        order = order_in_documents(self.doc, self.hashes)
         doc, h = self.doc[order], self.hashes[order]
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
         at = np.arange(len(h))

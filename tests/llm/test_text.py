@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lathework.llm.grams import SKETCH, canonical, occurrence_slots, prefixes
-from lathework.llm.text import Words, bag_overlap, may_overlap, outlines, words
+from lathework.llm.text import Words, bag_overlap, may_overlap, order_in_documents, outlines, words
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aAbBß éÉé١1_-.,\n“”x", max_size=30)), min_size=1, max_size=6)
 
@@ -72,3 +72,15 @@ def test_canonical_order_is_rarest_first_and_forgets_the_texts_order():
     for k in range(6):
         assert (np.diff(seen[doc == k]) >= 0).all() and rank[doc == k].tolist() == list(range(w.sizes()[k]))
     assert h[doc == 0].tolist() == h[doc == 1].tolist()
+
+
+def test_the_order_in_documents_is_lexsorts_whatever_the_ties():
+    rng = np.random.default_rng(4)
+    for size, docs, most in [(0, 1, 1), (1, 1, 1), (500, 1, 3), (4000, 900, 1 << 24), (4000, 7, 1 << 30), (200, 1 << 40, 1 << 40)]:
+        doc = np.sort(rng.integers(0, docs, size))
+        count = rng.integers(0, most, size)
+        # the same upper bits, and the same numbers, again and again
+        h = rng.integers(0, 4, size).astype(np.uint64) << np.uint64(62) | rng.integers(0, 40, size).astype(np.uint64)
+        for keys in [(h, doc), (h, count, doc), (h, count.astype(np.float32), doc)]:
+            got, expected = order_in_documents(doc, h, keys[1] if len(keys) == 3 else None), np.lexsort(keys)
+            assert sorted(got.tolist()) == list(range(size)) and all((k[got] == k[expected]).all() for k in keys)
